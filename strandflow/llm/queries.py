@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from strandflow.llm import mixing, secrets, url_filter
+from strandflow.llm import license_scan, mixing, quality, secrets, simhash, url_filter
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_mix": mixing.op6_mix,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL = {
