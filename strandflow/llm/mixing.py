@@ -19,6 +19,7 @@ from strandflow.llm.common import join_side
 from strandflow.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
@@ -114,15 +115,15 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", "copies", *edges, fraction.alias("fraction"))
 
 
-def mix(sizes: DataFrame) -> DataFrame:
-    """Rows of ``sizes`` (source, size, __hash and any others) with source_size, target and taken.
-
-    Null sources are one source, after all others. Rows of no words take none. Rows with equal ids share
-    a hash, so they're taken alike. An empty table gives an empty result.
-    """
+def marks_of(sizes: DataFrame) -> DataFrame:
+    """(source, source_size, target, copies, b0, b1, b2, fraction): what decides each row."""
     goals = materialize(targets(sizes), "mix-targets")
-    marks = materialize(join_side(goals, thresholds(sizes, goals), ["source"]), "mix-thresholds")
-    joined = join_side(sizes, marks, ["source"])
+    return materialize(join_side(goals, thresholds(sizes, goals), ["source"]), "mix-thresholds")
+
+
+def decide(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` (source, size, __hash and any others) with source_size, target and taken."""
+    joined = join_side(rows, marks, ["source"])
     b = [bucket(i) for i in range(LEVELS)]
     e = [F.col(f"b{i}") for i in range(LEVELS)]
     below = (b[0] < e[0]) | ((b[0] == e[0]) & ((b[1] < e[1]) | ((b[1] == e[1]) & (b[2] < e[2]))))
@@ -134,6 +135,45 @@ def mix(sizes: DataFrame) -> DataFrame:
     return joined.withColumn("taken", taken.cast("long")).drop("copies", "fraction", "b0", "b1", "b2")
 
 
+def mix(sizes: DataFrame) -> DataFrame:
+    """Rows of ``sizes`` (source, size, __hash and any others) with source_size, target and taken.
+
+    Null sources are one source, after all others. Rows of no words take none. Rows with equal ids share
+    a hash, so they're taken alike. An empty table gives an empty result.
+    """
+    return decide(sizes, marks_of(sizes))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each whole copy, and for words taken beyond, one that ends after them.
+
+    ``n_chars`` follows the text where there is one. Rows of which nothing is taken go. Texts aren't shuffled.
+    """
+    marks = marks_of(sized(docs))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("__row"), "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("__hash")
+    )
+    chosen = decide(rows, marks).where("taken > 0").select("__row", "size", "taken")
+    words = F.expr("array_repeat(size, int(taken div size))")
+    words = F.when(F.expr("taken % size > 0"), F.concat(words, F.array(F.expr("taken % size")))).otherwise(words)
+    copies = chosen.withColumn("__words", F.explode(words))
+    # a word's end is where the text is cut
+    start = F.array_join(F.slice(F.split("__row.text", WORD_END, (F.col("__words") + 1).cast("int")), 1, F.col("__words").cast("int")), "")
+    text = F.when(F.col("__words") == F.col("size"), F.col("__row.text")).otherwise(start)
+    texts = copies.select("__row", "size", "__words", text.alias("__text"))
+
+    def column(name: str) -> Column:
+        kept = F.col("__row").getField(name)
+        if name == "text":
+            return F.col("__text").alias(name)
+        if name == "n_chars":
+            whole = F.col("__words") == F.col("size")
+            return F.when(whole, kept).otherwise(F.length("__text").cast(docs.schema[name].dataType)).alias(name)
+        return kept.alias(name)
+
+    return texts.select(*(column(c) for c in docs.columns))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """Ids, sources and word counts of whole texts, written once: later passes read no text."""
     return materialize(

@@ -42,6 +42,8 @@ ALLOW = (
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUIDs
 )
 
+MARKER = "[SECRET]"
+
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -124,14 +126,8 @@ def entropy_spans(text: Column, kind: int) -> Column:
     return F.filter(found, secret)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of ``docs`` (doc_id, text).
-
-    A null text counts as empty, and one without secrets has zero counts, the hash of the empty string and
-    empty spans. Repeated rows and null ids are kept, a row each; an empty table gives an empty result.
-    ``spans`` has the base kinds and ``entropy`` for candidates that no base span covers.
-    """
-    names = [*BASE_KINDS, "entropy"]
+def with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` as __row, with __text, base and added: arrays of spans by start, then kind."""
     none = F.array().cast(SPAN)
     text = F.coalesce("text", F.lit(""))
     base = {
@@ -140,10 +136,22 @@ def scan(docs: DataFrame) -> DataFrame:
         for i, (name, (pattern, group, least)) in enumerate(BASE_KINDS.items())
     }
     base["entropy"] = F.when(F.col("__text").rlike(CANDIDATE), entropy_spans(F.col("__text"), len(BASE_KINDS))).otherwise(none)
-    spans = docs.select("doc_id", text.alias("__text")).select("doc_id", *(c.alias(n) for n, c in base.items()))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), text.alias("__text"))
+    spans = rows.select("__row", "__text", *(c.alias(n) for n, c in base.items()))
     ordered = F.array_sort(F.concat(*BASE_KINDS))
     added = F.filter("entropy", lambda x: ~F.exists("base", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
-    listed = spans.withColumn("base", ordered).withColumn("added", added)
+    return spans.withColumn("base", ordered).withColumn("added", added)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of ``docs`` (doc_id, text).
+
+    A null text counts as empty, and one without secrets has zero counts, the hash of the empty string and
+    empty spans. Repeated rows and null ids are kept, a row each; an empty table gives an empty result.
+    ``spans`` has the base kinds and ``entropy`` for candidates that no base span covers.
+    """
+    names = [*BASE_KINDS, "entropy"]
+    listed = with_spans(docs.select("doc_id", "text"))
 
     def joined(col: Column) -> Column:
         kinds = F.array(*(F.lit(n) for n in names))
@@ -152,12 +160,43 @@ def scan(docs: DataFrame) -> DataFrame:
         )
 
     return listed.select(
-        "doc_id",
+        F.col("__row.doc_id").alias("doc_id"),
         *(F.size(n).cast("long").alias(f"n_{n}") for n in BASE_KINDS),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
     )
 
 
+def redact(docs: DataFrame, marker: str = MARKER) -> DataFrame:
+    """``docs`` with each secret in the text, and each run of overlapping ones, replaced by ``marker``.
+
+    Texts without secrets, and nulls, stay as they are; ``n_chars`` follows the text where there is one.
+    """
+    found = with_spans(docs).withColumn("all", F.array_sort(F.concat("base", "added")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        between = F.substring(F.col("__text"), acc["at"] + 1, x["start"] - acc["at"])
+        apart = F.concat(acc["out"], F.array(between, F.lit(marker)))
+        fresh = (x["start"] >= acc["at"]) & ((x["start"] > 0) | (acc["at"] == 0))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, apart).otherwise(acc["out"]).alias("out"))
+
+    def finish(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.length("__text")))
+
+    clean = F.when(F.size("all") > 0, F.aggregate("all", begin, step, finish)).otherwise(F.col("__row.text"))
+    cleaned = found.select("__row", clean.alias("__clean"))
+    return cleaned.select(*(_cleaned(c, docs) for c in docs.columns))
+
+
+def _cleaned(name: str, docs: DataFrame) -> Column:
+    if name == "text":
+        return F.col("__clean").alias(name)
+    kept = F.col("__row").getField(name)
+    if name == "n_chars":
+        kept = F.when(F.col("__clean").eqNullSafe(F.col("__row.text")), kept).otherwise(F.length("__clean").cast(docs.schema[name].dataType))
+    return kept.alias(name)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
