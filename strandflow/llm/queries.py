@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandflow.llm import license_scan, mixing, packing, quality, secrets, simhash, topk, url_filter
+from strandflow.llm import license_scan, lm_score, mixing, packing, pii, quality, secrets, simhash, topk, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_lm_score": lm_score.op2_lm_score,
+    "op3_pii_surrogates": pii.op3_pii_surrogates,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_mix": mixing.op6_mix,

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow.llm.common import SPAN, located
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
@@ -44,26 +46,6 @@ ALLOW = (
 
 MARKER = "[SECRET]"
 
-SPAN = "array<struct<start:int,kind:int,end:int>>"
-
-
-def located(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Spans of all leftmost matches; start and end count code points. ``group`` must have ``least`` characters."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    sized = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        keep = F.length(x["sized"]) >= least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), sized.alias("sized"))
-    return F.aggregate(rows, begin, step, lambda acc: acc["out"])
-
 
 def max_window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy in bits of any ``window`` characters in a row, by incremental counts.
