@@ -8,31 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm import mixing, packing, quality, secrets, simhash
-from strandflow.session import materialize, table
+from strandflow.session import materialize, ship, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the fixed rules, or whose score passes their stratum's proven cutoff, go."""
+    ship(spark)
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: that of the smallest id."""
+    ship(spark)
     return simhash.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a marker; all documents stay."""
+    ship(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them."""
+    ship(spark)
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    ship(spark)
     return packing.pack(docs)
 
 
