@@ -25,44 +25,101 @@ WINDOW = 2048
 END = (1).to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, and their greatest length in bytes.
-CACHE = 400_000
+CACHE = 600_000
 CACHED_BYTES = 64
 #: Open windows held in memory.
 MAX_OPEN = 2048
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-#: A letter before a stop or comma ends a token there in any case.
-STOPS = re.compile(rb"([a-z])(?=[.,])")
+#: Letters, then marks, none of them an apostrophe: a token ends between the two in any case.
+LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
+HEAD = re.compile(rb"(" + LETTER + rb"+)([!-&(-/:-@\[-`{-~]*)")
+#: Words of letters encoded at once.
+TOGETHER = 50
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes, by way of their blank-separated words: no token spans a blank."""
+    """Ids of texts as little-endian bytes, by way of their blank-separated words: no token spans a blank.
+
+    Ids of words met before are remembered, in two generations of which the older is dropped when the
+    younger is full. Words of letters are encoded many in a text: each ends with a token that ends words.
+    """
 
     def __init__(self, path: str | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
+        # small letters need neither normalising nor the search for tokens within a word
+        self.letters = Tokenizer(self.tokenizer.model)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+        ids = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        for token, i in ids.items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+    def encode_letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        encoded = self.letters.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, encoded, strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group):
+                raw, before = ids.tobytes(), 0
+                for word, stop in zip(group, (4 * stops).tolist(), strict=True):
+                    out[word] = raw[before:stop]
+                    before = stop
+            else:  # can't be, but would show here
+                out.update(zip(group, self.encode([w.decode() for w in group]), strict=True))
+        return out
+
+    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words: those of letters, of letters before marks, and others."""
+        heads: dict[bytes, tuple[bytes, bytes]] = {}
+        others: list[bytes] = []
+        for w in words:
+            m = HEAD.fullmatch(w)
+            if m:
+                heads[w] = m.groups()
+            else:
+                others.append(w)
+        letters = self.encode_letters(list({h for h, _ in heads.values()}))
+        marks = list({t for _, t in heads.values() if t})
+        tails = dict(zip(marks, self.encode([t.decode() for t in marks]), strict=True))
+        tails[b""] = b""
+        out = {w: letters[h] + tails[t] for w, (h, t) in heads.items()}
+        out.update(zip(others, self.encode([w.decode("utf-8", "replace") for w in others]), strict=True))
+        return out
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         split = []
         for text in texts:
             raw = (text or "").encode("utf-8", "surrogatepass")
-            if b"<|" not in raw:  # else a special token may stand there, whose case counts
-                raw = STOPS.sub(rb"\1 ", raw.lower())
-            split.append(raw.split())
+            split.append((raw if b"<|" in raw else raw.lower()).split())  # a special token's case counts
         if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, encoded, strict=True)}
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for w in set().union(*split):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        fresh = self.learn(new)
         long = {w: fresh.pop(w) for w in new if len(w) > CACHED_BYTES}
         known.update(fresh)
         for words in split:
@@ -72,6 +129,16 @@ class WordIds:
                 yield b"".join([known[w] if w in known else long[w] for w in words])
 
 
+_WORKER: dict[str | None, WordIds] = {}
+
+
+def worker_ids(path: str | None) -> WordIds:
+    """The worker's own: tasks that follow one another in a worker share what it remembers."""
+    if path not in _WORKER:
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
+
+
 class Packer:
     """Places pieces online and returns rows of finished sequences. A piece: (row, start, ids)."""
 
@@ -168,7 +235,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = worker_ids(path)
         packer = Packer(TaskContext.get().partitionId() << 40)
         for batch in it:
             ids = words.batch(batch.column(1).to_pylist())
