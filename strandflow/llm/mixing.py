@@ -128,7 +128,7 @@ def decide(rows: DataFrame, marks: DataFrame) -> DataFrame:
     e = [F.col(f"b{i}") for i in range(LEVELS)]
     below = (b[0] < e[0]) | ((b[0] == e[0]) & ((b[1] < e[1]) | ((b[1] == e[1]) & (b[2] < e[2]))))
     at = (b[0] == e[0]) & (b[1] == e[1]) & (b[2] == e[2])
-    more = F.when(below, F.col("size")).when(at, F.floor(F.col("size") * F.col("fraction"))).otherwise(0)
+    more = F.when(below, F.col("size")).when(at, F.floor(F.col("size") * (F.col("fraction") + 1e-9))).otherwise(0)
     # a missing edge means that the budget ended on a bucket's border
     more = F.when(e[0].isNull(), 0).otherwise(F.coalesce(more, F.lit(0)))
     taken = F.col("copies") * F.col("size") + more
@@ -184,4 +184,26 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT source, source_size, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+    2.0::DOUBLE * source_size / CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS filled FROM s),
+f AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE
+      - coalesce(sum(2 * source_size) OVER (ORDER BY filled, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(weight) OVER (ORDER BY filled, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT source, source_size, least(2.0::DOUBLE * source_size,
+    coalesce((SELECT min_by(level, filled) FROM f WHERE level <= filled), 0) * weight) AS target FROM w),
+b AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM g),
+h AS (SELECT source, h, sum(size)::BIGINT AS n FROM d GROUP BY source, h),
+c AS (SELECT source, h, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM h)
+SELECT d.doc_id, d.size, b.source_size, round(b.target, 6) AS target, (b.copies * d.size + CASE
+    WHEN c.before + c.n <= b.target - b.copies * b.source_size THEN d.size
+    WHEN c.before <= b.target - b.copies * b.source_size AND c.n > 0
+      THEN floor(d.size * ((b.target - b.copies * b.source_size - c.before) / c.n + 1e-9)) ELSE 0 END)::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_mix": mixing.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op10_top_k": topk.ORACLE_SQL,
 }
