@@ -29,6 +29,8 @@ from strandflow.session import materialize
 
 #: Words with counts of their own; all others are rare.
 VOCABULARY = 1 << 16
+#: Steps to an octave of counts when the vocabulary's least count is sought.
+STEPS = 64
 COMMON = 32
 SHARED = 16
 #: Common words, then shared classes of known words, then of rare ones; the last stands beyond a text's ends.
@@ -110,9 +112,26 @@ class Lexicon:
         return classes, shares
 
 
+def commonest(counts: DataFrame, limit: int = VOCABULARY) -> list:
+    """Words of at least a count below which there'd be more than ``limit`` of them, commonest first.
+
+    The least count comes from a histogram of counts by size, ``STEPS`` to an octave, so that no task and not
+    the driver gets more than ``limit`` words.
+    """
+    size = F.floor(F.log2("n") * STEPS).cast("int")
+    histogram = {r.size: r.words for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect()}
+    least = words = 0
+    for step in sorted(histogram, reverse=True):
+        words += histogram[step]
+        if words > limit:
+            least = step + 1
+            break
+    return sorted(counts.where(size >= least).collect(), key=lambda r: (-r.n, r.h))
+
+
 def lexicon(docs: DataFrame) -> Lexicon:
     counts = materialize(count_words(docs), "lm-counts")
-    top = counts.orderBy(F.col("n").desc(), "h").limit(VOCABULARY).collect()
+    top = commonest(counts)
     h = np.array([r.h for r in top], np.int64)
     n = np.array([r.n for r in top], np.float64)
     classes = np.array([i if i < COMMON else COMMON + r.ending for i, r in enumerate(top)], np.int64)
