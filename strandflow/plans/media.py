@@ -12,7 +12,7 @@ from strandflow.functions import checksums
 from strandflow.operators import models
 from strandflow.registry import query
 from strandflow.session import table
-from strandflow.sources import archive, mp3, ogg, opus, tracker
+from strandflow.sources import archive, files, mp3, ogg, opus, tracker
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,3 +254,46 @@ def link_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of a chain that repeat an earlier one under another serial."""
     found = ogg.link_copies(ogg.pages(built(spark, sf_dir, _chain)))
     return found.groupBy("path").agg(F.count("*").alias("links"), F.count("rep_of").alias("copies"))
+
+
+SNIFF = """
+SELECT s_suppkey::VARCHAR AS path, CASE s_suppkey % 6 WHEN 0 THEN 'opus' WHEN 1 THEN 'mod' WHEN 2 THEN 'it' WHEN 3 THEN 'xm' WHEN 4 THEN 'mp3' END AS fmt FROM supplier
+"""
+
+
+@query("sniff_files", "SRC01 SRC02 SRC06 SRC07 SRC08 SRC09 SRC10 SRC12", SNIFF)
+def sniff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats by the first bytes of files of six kinds."""
+    kinds = (_opus, _mod, _it, _xm, lambda k: _mp3(k - k % 7), lambda k: b"nothing that is known")
+    made = built(spark, sf_dir, lambda key: kinds[key % 6](key))
+    return made.select("path", files.sniff(files.peek(F.col("content"), 2048), F.col("length")).alias("fmt"))
+
+
+@query("mp3_transpose", "SNK08 SNK09 FLT07", "SELECT s_suppkey::VARCHAR AS path, true AS lossless, (6 + s_suppkey % 5) * 36 AS head_bytes FROM supplier")
+def mp3_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and payloads of runs taken apart and put together again."""
+
+    def one(row) -> tuple:
+        data = bytes(row.content)
+        run = mp3.scan(data)[1][0]
+        heads, payload = mp3.transpose(data, run)
+        return row.path, mp3.restore(heads, payload, run.free) == data[run.at : run.end], len(heads)
+
+    return models.map_rows(built(spark, sf_dir, _mp3), "path string, lossless boolean, head_bytes long", one)
+
+
+@query("it_samples", "SRC31 SRC32 SNK10 SNK12 MDL27 AGG16", "SELECT s_suppkey::VARCHAR AS path, true AS lossless, true AS canonical, 500 + s_suppkey % 100 AS samples FROM supplier")
+def it_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples compressed by both algorithms and patterns packed, each read back."""
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey")
+
+    def one(row) -> tuple:
+        rng = random.Random(row.s_suppkey)
+        xs = [rng.randrange(-128, 128) for _ in range(500 + row.s_suppkey % 100)]
+        both = all(tracker.decompress(tracker.compress(xs, False, t), 0, len(xs), False, t) == xs for t in (False, True))
+        events = [(r, r % 4, 0, 40 + r % 20, 1 + r % 3, None, 1, r) for r in range(0, 64, 3)]
+        packed = tracker.pack_it(events, 64)
+        again = list(tracker.unpack_it(packed, 64))
+        return str(row.s_suppkey), both, tracker.pack_it(again, 64) == packed, len(xs)
+
+    return models.map_rows(keys, "path string, lossless boolean, canonical boolean, samples long", one)

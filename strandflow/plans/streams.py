@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.registry import query
-from strandflow.session import table
+from strandflow.session import materialize, table
+from strandflow.sources import ogg
 from strandflow.streaming import stateful
 
 STATEFUL_LINKS = """
@@ -42,3 +44,33 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.floor(F.unix_micros("window.start") / 3_600_000_000)
     out = stateful.drain(counts.select(hour.alias("hour_no"), "event_type", "n"), "complete")
     return out
+
+
+@query("stream_pages", "STR01 STR05 STR06 SRC13", "SELECT doc_id::VARCHAR AS path, true AS covered, strlen(coalesce(text, ''))::BIGINT AS body FROM documents")
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as paged streams that arrive in blocks of 4 KiB with junk ahead: pages and gaps cover all bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    names = ["path", "block", "data", "last"]
+
+    def blocks(it):
+        for pdf in it:
+            rows = []
+            for doc_id, data in zip(pdf["doc_id"], pdf["data"], strict=True):
+                raw = b"junk" + ogg.build_stream([bytes(data)], doc_id & 0xFFFFFFFF, segments=20)
+                for at in range(0, len(raw), 4096):
+                    rows.append((str(doc_id), at // 4096, raw[at : at + 4096], at + 4096 >= len(raw)))
+            yield pd.DataFrame(rows, columns=names)
+
+    arrived = materialize(docs.mapInPandas(blocks, "path string, block int, data binary, last boolean"), "blocks")
+    path = arrived.inputFiles()[0].rsplit("/", 1)[0]
+    stream = stateful.stream_table(spark, path, arrived.schema, files_per_trigger=1000)
+    found = stateful.drain(stateful.page_stream(stream))
+    page = F.col("kind") == "page"
+    segments = F.floor((F.col("body")) / 255) + 1
+    heads = 27 * F.greatest(F.ceil(segments / 20), F.lit(1)) + segments
+    sums = found.groupBy("path").agg(
+        F.sum("len").alias("all"), F.sum(F.when(page, F.col("len")).otherwise(0)).alias("paged"), F.sum(F.when(~page, F.col("len")).otherwise(0)).alias("gaps")
+    )
+    sizes = docs.select(F.col("doc_id").cast("string").alias("path"), F.length("data").cast("long").alias("body"))
+    covered = (F.col("paged") == heads + F.col("body")) & (F.col("gaps") == 4)
+    return sizes.join(sums, "path").select("path", covered.alias("covered"), "body")

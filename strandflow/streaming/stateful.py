@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandflow.session import shared_dir
@@ -72,6 +73,27 @@ def page_stream(blocks: DataFrame, keep: int = 1 << 17) -> DataFrame:
     return blocks.groupBy("path").applyInPandasWithState(run, PAGES, "tail binary, base long", "append", GroupStateTimeout.NoTimeout)
 
 
+class Progress(StreamingQueryListener):
+    """Rows and batches of the running streams, for those who wait: register with ``spark.streams.addListener``."""
+
+    def __init__(self, show: Callable[[str], None] = print) -> None:
+        self.show, self.rows, self.batches = show, 0, 0
+
+    def onQueryStarted(self, event: Any) -> None:
+        self.show(f"started {event.id}")
+
+    def onQueryProgress(self, event: Any) -> None:
+        self.rows += event.progress.numInputRows
+        self.batches += 1
+        self.show(f"{self.rows} rows in {self.batches} batches")
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        self.show(f"ended after {self.rows} rows")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is now, in micro-batches, into the shared folder, and reads the result.
 
