@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow import codec
 from strandflow.functions import checksums
 from strandflow.operators import models
 from strandflow.registry import query
@@ -297,3 +298,19 @@ def it_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         return str(row.s_suppkey), both, tracker.pack_it(again, 64) == packed, len(xs)
 
     return models.map_rows(keys, "path string, lossless boolean, canonical boolean, samples long", one)
+
+
+@query("codec_roundtrip", "SNK04 EXE01 EXE03 EXE05 AGG15 AGG17 STR09 MDL19 MDL22 FLT13 FN26", "SELECT s_suppkey::VARCHAR AS path, true AS lossless, true AS smaller, 0::INTEGER AS status FROM supplier")
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of three kinds recompressed by the cheapest plan of each stream, and restored."""
+    kinds = (lambda k: _opus(k) * 20, lambda k: _mod(k) + bytes(500), lambda k: _mp3(k) + bytes(500))
+    made = built(spark, sf_dir, lambda key: kinds[key % 3](key))
+    coded = codec.encode_files(made)
+    back = codec.decode_files(coded).select("path", F.col("content").alias("again"), F.col("status").alias("decoded"))
+    both = made.join(coded.select("path", "coded", "status"), "path").join(back, "path")
+    return both.select(
+        "path",
+        (F.col("content") == F.col("again")).alias("lossless"),
+        (F.col("coded") < F.col("length")).alias("smaller"),
+        F.greatest("status", "decoded").alias("status"),
+    )
