@@ -34,6 +34,9 @@ NAME_WORD = r"\p{Lu}[\p{L}'-]+"
 NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.?\x20{NAME_WORD}(?:\x20{NAME_WORD}){{0,2}}"
 ANY = "|".join((EMAIL, IP, SSN, CARD, PHONE, NAME))
 
+#: What every titled name holds.
+TITLES = ("Mr", "Ms", "Miss", "Sir", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "Mlle", "Госп", "Κύρι", "Κυρί")
+
 #: Syllables and endings of made-up names by script.
 SYLLABLES = {
     "latin": ["ba", "be", "bo", "da", "de", "do", "fa", "ga", "go", "ka", "ke", "ko", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "no", "pa", "ra", "re", "ro", "sa", "so", "ta", "te", "va"],
@@ -189,6 +192,20 @@ def mentions_of(text: Column) -> Column:
     return F.transform(located(text, ANY, 0, 0, 0), mention)
 
 
+def has_mention(text: Column) -> Column:
+    """Whether any pattern fits; each is tried only where the characters that it needs are there."""
+    titled = F.contains(text, F.lit(TITLES[0]))
+    for t in TITLES[1:]:
+        titled = titled | F.contains(text, F.lit(t))
+    numbers = "|".join((IP, SSN, CARD, PHONE))
+    found = (
+        (F.contains(text, F.lit("@")) & text.rlike(EMAIL))
+        | (text.rlike(r"[0-9][0-9.]") & text.rlike(numbers))
+        | (titled & text.rlike(NAME))
+    )
+    return F.coalesce(found, F.lit(False))
+
+
 def formatted(kind: Column, raw: Column, made: Column) -> Column:
     """The surrogate written as the mention was: digits in their places, capitals where all were."""
     surplus = F.length(_digits(raw)) - F.length(made)  # a country code that the entity is written with or without
@@ -237,7 +254,7 @@ def replace(docs: DataFrame) -> DataFrame:
     row each; an empty table gives an empty result.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"))
-    hit = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    hit = has_mention(F.col("text"))
     found = rows.where(hit).select("doc_id", "copy", F.explode(mentions_of(F.col("text"))).alias("m"))
     parts = found.select("doc_id", "copy", "m.start", "m.end", "m.raw", F.posexplode("m.parts").alias("part", "entity"))
     parts = materialize(parts.select("doc_id", "copy", "start", "end", "raw", "part", "entity.kind", "entity.norm"), "pii-mentions")
