@@ -5,7 +5,8 @@ agree on at least two whole blocks, so they meet under one of the 15 keys made o
 are folded first: only distinct fingerprints meet. Where few share a key they are joined and their Hamming
 distance is checked. Where many do, the group is cut into pieces of bounded size, every pair of pieces is
 searched in a task of its own, and only links that join parts not yet joined are returned, so that a group
-of copies gives a number of links in proportion to its size.
+of copies gives a number of links in proportion to its size. Where so many do that even pairs of pieces
+would be too many, fingerprints meet in the numbers between them, which is linear in their number.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ DISTANCE = 4
 BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
 #: Fingerprints under a key up to which they are joined; beyond, they are searched piece by piece.
 FEW = 32
-#: Fingerprints in a piece.
+#: Fingerprints in a piece, and pieces of a key up to which each meets each.
 PIECE = 4096
+PIECES = 256
 CHUNK = 1 << 16
 
 
@@ -107,13 +109,29 @@ def links(fps: DataFrame) -> DataFrame:
     other = few.select(F.col("key").alias("__key"), F.col("fp").alias("__fp"))
     near = (F.col("fp") < F.col("__fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("__fp"))) <= DISTANCE)
     joined = few.join(other, (F.col("key") == F.col("__key")) & near).select(F.col("fp").alias("a"), F.col("__fp").alias("b"))
+    crowded = met.where(F.col("n") > PIECE * PIECES).select("fp").distinct()
     pieces = F.ceil(F.col("n") / PIECE).cast("long")
     mine = F.pmod(F.xxhash64("fp"), F.col("pieces"))
-    many = met.where(F.col("n") > FEW).withColumn("pieces", pieces).withColumn("mine", mine)
+    many = met.where(F.col("n").between(FEW + 1, PIECE * PIECES)).withColumn("pieces", pieces).withColumn("mine", mine)
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     grouped = many.groupBy("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     searched = grouped.applyInPandas(lambda pdf: search(pdf), "a long, b long")
-    return joined.union(searched)
+    return joined.union(searched).union(stars(crowded))
+
+
+def stars(fps: DataFrame) -> DataFrame:
+    """Links of fingerprints (fp) that meet in a number between them, in a number of rows linear in theirs.
+
+    Two that differ in 4 bits or fewer have a number that differs from each in 2 or fewer; and two that meet
+    in such a number differ in 4 or fewer. So each sends itself to all numbers that near, and those that meet
+    in one are linked to the least of them.
+    """
+    one = "transform(sequence(0, 64), i -> if(i < 64, shiftleft(1L, i), 0L))"  # a bit, or none
+    masks = F.expr(f"array_distinct(flatten(transform({one}, a -> transform({one}, b -> a ^ b))))")
+    sent = fps.select("fp", F.explode(masks).alias("mask"))
+    sent = sent.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("between"))
+    least = sent.groupBy("between").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
+    return sent.join(least, "between").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def prints(docs: DataFrame) -> DataFrame:

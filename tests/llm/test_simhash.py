@@ -72,6 +72,15 @@ def test_large_groups_are_searched_in_pieces(spark, monkeypatch):
     check(rows, simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
 
 
+def test_crowded_keys_meet_in_between(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 2)
+    monkeypatch.setattr(simhash, "PIECE", 4)
+    monkeypatch.setattr(simhash, "PIECES", 2)
+    rng = random.Random(15)
+    rows = [(i, t, 0, "") for i, t in enumerate([*near_copies(rng, 60, 150), *near_copies(rng, 20, 40)])]
+    check(rows, simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
+
+
 def test_one_of_each(spark):
     rng = random.Random(6)
     texts = [*near_copies(rng, 30, 200), "alone one two three four five", None]
