@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandflow.functions.histograms import character_counts
 from strandflow.operators.sequence import before
 
 #: Rows of a context after which the adaptive bit stops counting and forgets at a fixed rate.
@@ -38,9 +39,9 @@ def entropy_of_counts(n: Column, total: Column) -> Column:
 
 
 def characters(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """(keys, ch, n): characters counted within each row before anything is shuffled."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return df.select(*keys, F.explode(chars).alias("ch")).groupBy(*keys, "ch").agg(F.count("*").alias("n"))
+    """(keys, ch, n): characters by code point, counted within each row before anything is shuffled."""
+    counts = df.select(*keys, F.explode(character_counts(text)).alias("x"))
+    return counts.groupBy(*keys, F.col("x.ch").alias("ch")).agg(F.sum("x.n").alias("n"))
 
 
 def log2_factorial(n: Column) -> Column:

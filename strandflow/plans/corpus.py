@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandflow.functions.histograms import context_counts
 from strandflow.operators import cost, layout, lookup, sequence
 from strandflow.registry import query
 from strandflow.session import table
@@ -266,12 +267,8 @@ def count_model_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     the product 1 * 2 * .. * n, over the product of the totals. So the cost needs counts alone: nothing is
     sorted, and a text's pairs are counted in its task.
     """
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))))
-    pairs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.arrays_zip(chars.alias("ch"), before.alias("prev"))).alias("x"))
-    prev = F.col("x.prev")
-    klass = F.when(prev.isNull(), 0).when(prev.rlike("[a-z]"), 1).when(prev.rlike("[A-Z0-9]"), 2).otherwise(3)
-    counts = pairs.groupBy("doc_id", klass.alias("class"), F.col("x.ch").alias("ch")).agg(F.count("*").alias("n"))
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.explode(context_counts("text")).alias("x"))
+    counts = pairs.groupBy("doc_id", F.col("x.class").alias("class"), F.col("x.ch").alias("ch")).agg(F.sum("x.n").alias("n"))
     contexts = counts.groupBy("doc_id", "class").agg(F.sum("n").alias("n"), F.sum(cost.log2_factorial(F.col("n"))).alias("saved"))
     bits = cost.log2_factorial(F.col("n") + 255) - cost.log2_factorial(F.lit(255)) - F.col("saved")
     return contexts.groupBy("doc_id").agg(F.sum("n").alias("chars"), F.round(F.sum(bits), 4).alias("bits"))
