@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,9 @@ BROADCAST_ROWS = 50_000
 ARROW_ROWS = 1024
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+WORD_SPAN = "array<struct<start:int,kind:int,end:int,word:string>>"
+#: Items of an array that are folded into one block of its result.
+FOLD_BLOCK = 256
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,19 +44,49 @@ def join_side(big: DataFrame, side: DataFrame, on: Sequence[str], how: str = "in
     return joined.drop(*(f"__side_{c}" for c in on))
 
 
-def located(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Spans of all leftmost matches; start and end count code points. ``group`` must have ``least`` characters."""
+def folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What ``step`` emits over an array, in order: it takes the state and an item, and gives the state and an array to add.
+
+    Arrays grow in blocks of ``FOLD_BLOCK`` items, which are put together at the end, so that what is copied
+    on the way stays short however many items there are. ``kind``: type of the array.
+    """
+    last = F.floor((F.size(items) - 1) / FOLD_BLOCK).cast("int")
+    empty = F.array().cast(kind)
+
+    def inner(acc: Column, x: Column) -> Column:
+        now, out = step(acc["state"], x)
+        return F.struct(now.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def run(bound: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(bound, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
+
+        def outer(acc: Column, block: Column) -> Column:
+            done = F.aggregate(block, F.struct(acc["state"].alias("state"), empty.alias("out")), inner)
+            # bound to a name, so that a block is folded once
+            return F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(blocks, begin, outer, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(F.size(items) > 0, F.transform(F.array(items), run)[0]).otherwise(empty)
+
+
+def located(text: Column, pattern: str, group: int, least: int, kind: int, words: bool = False) -> Column:
+    """Spans of all leftmost matches; start and end count code points. ``group`` must have ``least`` characters.
+
+    With ``words`` each span has its ``word`` too: a substring by place would read the text from its start
+    each time.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern)
     sized = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    kind_of = WORD_SPAN if words else SPAN
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        keep = F.length(x["sized"]) >= least
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *[x["whole"].alias("word")] * words)
+        return end, F.when(F.length(x["sized"]) >= least, F.array(span)).otherwise(F.array().cast(kind_of))
 
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), sized.alias("sized"))
-    return F.aggregate(rows, begin, step, lambda acc: acc["out"])
+    return folded(rows, F.lit(0), step, kind_of)

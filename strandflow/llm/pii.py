@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import located
+from strandflow.llm.common import folded, located
 from strandflow.session import materialize
 
 KEY = "strandflow"
@@ -168,7 +168,7 @@ def mentions_of(text: Column) -> Column:
         return lambda raw: raw.rlike(rf"^(?:{pattern})$")
 
     def mention(span: Column) -> Column:
-        raw = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+        raw = span["word"]
         digits = _digits(raw)
         words = F.slice(F.split(raw, " "), 2, 3)
         given = F.when(raw.rlike(rf"^(?:{FEMALE})\.?\x20"), "given-f").otherwise("given-m")
@@ -189,7 +189,7 @@ def mentions_of(text: Column) -> Column:
         )
         return F.struct(span["start"].alias("start"), span["end"].alias("end"), raw.alias("raw"), parts.alias("parts"))
 
-    return F.transform(located(text, ANY, 0, 0, 0), mention)
+    return F.transform(located(text, ANY, 0, 0, 0, words=True), mention)
 
 
 def has_mention(text: Column) -> Column:
@@ -268,17 +268,13 @@ def replace(docs: DataFrame) -> DataFrame:
     lists = written.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(piece)).alias("pieces"))
     lists = lists.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "pieces")
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        gap = F.substring(F.col("text"), at + 1, x["start"] - at)
         lead = F.when(x["part"] == 0, F.concat(gap, F.coalesce(F.concat(x["title"], F.lit(" ")), F.lit("")))).otherwise(" ")
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(lead, x["put"])).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+        return x["end"], F.array(lead, x["put"])
 
-    clean = F.aggregate("pieces", begin, step, finish)
+    rest = F.substring(F.col("text"), F.element_at("pieces", -1)["end"] + 1, F.length("text"))
+    clean = F.concat(F.array_join(folded(F.col("pieces"), F.lit(0), step, "array<string>"), ""), rest)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pieces", lambda x: x["kind"]))), ",")
     n = F.size(F.filter("pieces", lambda x: x["part"] == 0)).cast("long")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("copy") == F.col("__copy"))

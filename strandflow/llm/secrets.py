@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import SPAN, located
+from strandflow.llm.common import SPAN, folded, located
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -93,10 +93,10 @@ def max_window_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
 def entropy_spans(text: Column, kind: int) -> Column:
     """Spans of candidates that the allow-list doesn't clear and whose entropy reaches their class's threshold."""
-    found = located(text, CANDIDATE, 0, 0, kind)
+    found = located(text, CANDIDATE, 0, 0, kind, words=True)
 
     def secret(span: Column) -> Column:
-        word = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+        word = span["word"]
         allowed = F.lit(False)
         for pattern in ALLOW:
             allowed = allowed | word.rlike(pattern)
@@ -105,7 +105,8 @@ def entropy_spans(text: Column, kind: int) -> Column:
             threshold = F.when(word.rlike(pattern), bits).otherwise(threshold)
         return F.when(allowed, False).otherwise(max_window_entropy(word) >= threshold)
 
-    return F.filter(found, secret)
+    bare = F.transform(F.filter(found, secret), lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    return bare.cast(SPAN)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -121,8 +122,17 @@ def with_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("__row"), text.alias("__text"))
     spans = rows.select("__row", "__text", *(c.alias(n) for n, c in base.items()))
     ordered = F.array_sort(F.concat(*BASE_KINDS))
-    added = F.filter("entropy", lambda x: ~F.exists("base", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
-    return spans.withColumn("base", ordered).withColumn("added", added)
+    spans = spans.withColumn("base", ordered)
+    # by start, base kinds first: a candidate is covered if some base span so far ends no earlier
+    both = F.array_sort(F.concat("base", "entropy"))
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        base = x["kind"] < len(BASE_KINDS)
+        fresh = ~base & (x["end"] > reach)
+        return F.when(base, F.greatest(reach, x["end"])).otherwise(reach), F.when(fresh, F.array(x)).otherwise(none)
+
+    some = (F.size("entropy") > 0) & (F.size("base") > 0)
+    return spans.withColumn("added", F.when(some, folded(both, F.lit(0), step, SPAN)).otherwise(F.col("entropy")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -155,18 +165,16 @@ def redact(docs: DataFrame, marker: str = MARKER) -> DataFrame:
     Texts without secrets, and nulls, stay as they are; ``n_chars`` follows the text where there is one.
     """
     found = with_spans(docs).withColumn("all", F.array_sort(F.concat("base", "added")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        between = F.substring(F.col("__text"), acc["at"] + 1, x["start"] - acc["at"])
-        apart = F.concat(acc["out"], F.array(between, F.lit(marker)))
-        fresh = (x["start"] >= acc["at"]) & ((x["start"] > 0) | (acc["at"] == 0))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, apart).otherwise(acc["out"]).alias("out"))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.length("__text")))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        between = F.substring(F.col("__text"), at + 1, x["start"] - at)
+        fresh = (x["start"] >= at) & ((x["start"] > 0) | (at == 0))
+        piece = F.when(fresh, F.array(between, F.lit(marker))).otherwise(F.array().cast("array<string>"))
+        return F.greatest(at, x["end"]), piece
 
-    clean = F.when(F.size("all") > 0, F.aggregate("all", begin, step, finish)).otherwise(F.col("__row.text"))
+    pieces = F.array_join(folded(F.col("all"), F.lit(0), step, "array<string>"), "")
+    rest = F.substring(F.col("__text"), F.array_max(F.transform("all", lambda x: x["end"])) + 1, F.length("__text"))
+    clean = F.when(F.size("all") > 0, F.concat(pieces, rest)).otherwise(F.col("__row.text"))
     cleaned = found.select("__row", clean.alias("__clean"))
     return cleaned.select(*(_cleaned(c, docs) for c in docs.columns))
 

@@ -63,6 +63,15 @@ def test_brute_force(spark):
     assert any("entropy" in r.spans for r in out)
 
 
+def test_many_spans(spark):
+    text = "".join(f"é{'%032x' % i}\n" for i in range(5000)) + " token=abcdefgh12" + " qW3eR5tY7uI9oP1aS2dF4gH6jK8lZ0xC" * 300
+    out = secrets.scan(spark.createDataFrame([(1, text, "", "")], DOCS)).first()
+    counts, digest, spans = brute(text)
+    assert out.n_hex == counts[2] == 5000 and out.base_sha256 == digest and out.spans == spans
+    clean = secrets.redact(spark.createDataFrame([(1, text, "", "")], DOCS)).first().text
+    assert clean.count(secrets.MARKER) == 5301 and "qW3eR5" not in clean
+
+
 def test_sample_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: (r.base_sha256, r.spans) for r in secrets.scan(docs).collect()}
