@@ -5,15 +5,16 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow import codec
 from strandflow.functions import checksums
+from strandflow.functions.bits import LsbWriter
 from strandflow.operators import models
 from strandflow.registry import query
 from strandflow.session import table
-from strandflow.sources import archive, files, mp3, ogg, opus, tracker
+from strandflow.sources import archive, files, mp3, ogg, opus, tracker, vorbis_audio
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,3 +315,69 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("coded") < F.col("length")).alias("smaller"),
         F.greatest("status", "decoded").alias("status"),
     )
+
+
+def _put_book(w: LsbWriter, lengths: list[int]) -> None:
+    w.write(0x564342, 24).write(2, 16).write(len(lengths), 24).write(0, 1).write(0, 1)
+    for n in lengths:
+        w.write(n - 1, 5)
+    w.write(0, 4)
+
+
+def _vorbis(key: int) -> bytes:
+    """A link of two channels with one floor, residue, mapping and two modes, and packets of random bits."""
+    rng = random.Random(key)
+    w = LsbWriter().write(1, 8)
+    _put_book(w, [1, 2, 3, 3])
+    _put_book(w, [2, 2, 2, 2])
+    w.write(0, 6).write(0, 16)
+    w.write(0, 6).write(1, 16).write(1, 5).write(0, 4).write(0, 3).write(0, 2).write(1, 8).write(1, 2).write(4, 4).write(5, 4)
+    w.write(0, 6).write(2, 16).write(0, 24).write(128, 24).write(15, 24).write(0, 6).write(0, 8).write(1, 3).write(0, 1).write(1, 8)
+    w.write(0, 6).write(0, 16).write(0, 1).write(1, 1).write(0, 8).write(0, 1).write(1, 1).write(0, 2).write(0, 8).write(0, 8).write(0, 8)
+    w.write(1, 6).write(0, 33).write(0, 8).write(1, 1).write(0, 32).write(0, 8).write(1, 1)
+    ident = b"\x01vorbis" + bytes(4) + b"\x02" + (44100).to_bytes(4, "little") + bytes(12) + b"\x65\x01"
+    comment = b"\x03vorbis" + bytes(8) + b"\x01"
+    audio = [bytes([rng.randrange(128) * 2]) + rng.randbytes(20 + key % 10) for _ in range(4 + key % 5)]
+    return ogg.build_stream([ident, comment, b"\x05vorbis" + w.bytes(), *audio], key)
+
+
+@query("vorbis_symbols", "SRC24 SRC25 SRC34 FN14 MDL08", "SELECT s_suppkey::VARCHAR AS path, 4 + s_suppkey % 5 AS packets, true AS lossless FROM supplier")
+def vorbis_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audio packets as symbols of their link's grammar; the symbols give back the packets' bits."""
+    packets = ogg.packets(ogg.pages(built(spark, sf_dir, _vorbis)))
+    symbols = vorbis_audio.symbols(packets)
+    heads = packets.where("pkt = 0").select("path", "link", F.col("data").alias("ident"))
+    setups = packets.where("pkt = 2").select("path", "link", F.col("data").alias("setup"))
+    listed = symbols.groupBy("path", "link", "pkt").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "site", "ch", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("width", "book")), "value"))).alias("symbols")
+    )
+    whole = packets.where("pkt > 2").join(listed, ["path", "link", "pkt"]).join(heads, ["path", "link"]).join(setups, ["path", "link"])
+
+    def one(row) -> tuple:
+        g = vorbis_audio.grammar_of(bytes(row.ident), bytes(row.setup))
+        found = [(s["site"], s["ch"], s["width"], None if s["book"] < 0 else s["book"], s["value"]) for s in row.symbols]
+        bits, n = vorbis_audio.emit(found, g)
+        return row.path, bits == int.from_bytes(bytes(row.data), "little") & ((1 << n) - 1)
+
+    checked = models.map_rows(whole.select("path", "data", "symbols", "ident", "setup"), "path string, lossless boolean", one)
+    return checked.groupBy("path").agg(F.count("*").alias("packets"), F.every("lossless").alias("lossless"))
+
+
+@query("symbol_costs", "AGG01 MDL08 MDL10 MDL12 SNK13 SRT02")
+def symbol_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit accounting of Vorbis symbols by site: adaptive cost in the context of link, site and book, with a total.
+
+    Values of a book are counted add-one over those it has met and one more, the sums rolled up by site.
+    """
+    symbols = vorbis_audio.symbols(ogg.packets(ogg.pages(built(spark, sf_dir, _vorbis))))
+    context, order = ["path", "link", "site", "ch", "book"], ["pkt", "seq"]
+    w = Window.partitionBy(*context).orderBy(*order)
+    total = F.row_number().over(w) - 1
+    seen = F.row_number().over(Window.partitionBy(*context, "value").orderBy(*order)) - 1
+    bits = -F.log2((seen + 1).cast("double") / (total + 256))
+    return (
+        symbols.withColumn("bits", bits)
+        .rollup("site")
+        .agg(F.count("*").alias("symbols"), F.round(F.sum("bits") / 8, 6).alias("bytes"), F.round(F.avg("bits"), 6).alias("bits_per_symbol"))
+        .select(F.coalesce("site", F.lit("TOTAL")).alias("component"), "symbols", "bytes", "bits_per_symbol")
+    )

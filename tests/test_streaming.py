@@ -1,4 +1,5 @@
 import random
+import time
 
 from strandflow.sources import ogg
 from strandflow.streaming import stateful
@@ -36,3 +37,20 @@ def test_links_keep_state_over_batches(spark, tmp_path):
         for i in range(30):
             n += (i + u) % 4 == 0
             assert out[(u, i)] == n
+
+
+def test_progress(spark, tmp_path):
+    said = []
+    listener = stateful.Progress(said.append)
+    spark.streams.addListener(listener)
+    try:
+        schema = "user_id long, event_id long, ts string, event_type string"
+        spark.createDataFrame([(1, 1, "a", "signup"), (1, 2, "b", "view")], schema).coalesce(1).write.parquet(str(tmp_path / "ev"))
+        stateful.drain(stateful.marker_links(stateful.stream_table(spark, str(tmp_path / "ev"), schema), "signup"))
+        for _ in range(100):
+            if said and said[-1].startswith("ended"):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.rows == 2 and said[0].startswith("started") and said[-1] == "ended after 2 rows"
