@@ -89,6 +89,10 @@ def features(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([features_of(t) for t in texts], columns=FEATURES.names)
 
 
+# called non-deterministic so that no filter is pushed below it, which would count every text twice
+features = features.asNondeterministic()
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
