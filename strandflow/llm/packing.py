@@ -82,7 +82,7 @@ class WordIds:
                 for word, stop in zip(group, (4 * stops).tolist(), strict=True):
                     out[word] = raw[before:stop]
                     before = stop
-            else:  # can't be, but would show here
+            else:  # words whose tokens don't end where they do
                 out.update(zip(group, self.encode([w.decode() for w in group]), strict=True))
         return out
 
