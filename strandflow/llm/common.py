@@ -50,7 +50,6 @@ def folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[
     Arrays grow in blocks of ``FOLD_BLOCK`` items, which are put together at the end, so that what is copied
     on the way stays short however many items there are. ``kind``: type of the array.
     """
-    last = F.floor((F.size(items) - 1) / FOLD_BLOCK).cast("int")
     empty = F.array().cast(kind)
 
     def inner(acc: Column, x: Column) -> Column:
@@ -58,6 +57,7 @@ def folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[
         return F.struct(now.alias("state"), F.concat(acc["out"], out).alias("out"))
 
     def run(bound: Column) -> Column:
+        last = F.floor((F.size(bound) - 1) / FOLD_BLOCK).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(bound, b * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)))
 
         def outer(acc: Column, block: Column) -> Column:
@@ -66,9 +66,10 @@ def folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[
             return F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
 
         begin = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
-        return F.aggregate(blocks, begin, outer, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(bound) > 0, F.aggregate(blocks, begin, outer, lambda acc: F.flatten(acc["out"]))).otherwise(empty)
 
-    return F.when(F.size(items) > 0, F.transform(F.array(items), run)[0]).otherwise(empty)
+    # bound to a name, so that the items are made once
+    return F.transform(F.array(items), run)[0]
 
 
 def located(text: Column, pattern: str, group: int, least: int, kind: int, words: bool = False) -> Column:
