@@ -3,8 +3,8 @@
 Word counts of the whole corpus give a vocabulary and word classes: the commonest words are classes of
 their own, other words share classes by their endings, known and rare ones apart. A small network sees the
 classes of the two words before and the two after a masked word and predicts its class; the word's share
-of its class is taken from the counts. Every task trains a copy on all its texts, in each of which a keyed
-hash masks a quarter of the words; the copies, which start alike, are averaged by their number of targets.
+of its class is taken from the counts. Every task trains a copy on all its texts, in which each word is
+masked once; the copies, which start alike, are averaged by their number of targets.
 A document's score is the sum over all its words of the log-probability of each given its neighbours.
 
 What reaches the driver is bounded: ``VOCABULARY`` counts and sums of the network's weights.
@@ -38,8 +38,6 @@ CLASSES = COMMON + 2 * SHARED
 PAD = CLASSES
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 32
-#: One in so many words is masked in training.
-MASK_EVERY = 4
 BATCH = 256
 RATE = 0.02
 SEED = 20
@@ -196,12 +194,10 @@ class Network:
         p[rows, target] -= 1
         p /= len(target)
         dh = (p @ out.T) * (1 - h * h)
-        grads = []
+        hot = np.zeros((len(target), len(OFFSETS) * (CLASSES + 1)), np.float32)
         for k in range(len(OFFSETS)):
-            hot = np.zeros((len(target), CLASSES + 1), np.float32)
-            hot[rows, context[k]] = 1
-            grads.append((hot.T @ dh).ravel())
-        return np.concatenate([*grads, dh.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0)])
+            hot[rows, context[k] + k * (CLASSES + 1)] = 1
+        return np.concatenate([(hot.T @ dh).ravel(), dh.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0)])
 
     def train(self, context: np.ndarray, target: np.ndarray) -> None:
         g = self.gradient(context, target)
@@ -247,24 +243,17 @@ def context_of(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.stack([padded[places + k] for k in OFFSETS])
 
 
-def masked(places: np.ndarray, key: int) -> np.ndarray:
-    """One in ``MASK_EVERY`` places, by a multiplicative hash."""
-    x = (places.astype(np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-    return places[(x >> np.uint64(40)) % np.uint64(MASK_EVERY) == 0]
-
-
 def train(docs: DataFrame, known: Lexicon) -> Network:
     """The average of the networks that the tasks train, weighted by their number of targets."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, coder, seen = Network(class_shares=known.class_shares), Coder(known), 0
-        for number, batch in enumerate(it):
+        for batch in it:
             padded, _, places, _ = coder.batch(batch.column(0).to_pylist())
-            chosen = masked(places, number)
-            for at in range(0, len(chosen), BATCH):
-                part = chosen[at : at + BATCH]
+            for at in range(0, len(places), BATCH):
+                part = places[at : at + BATCH]
                 net.train(context_of(padded, part), padded[part])
-            seen += len(chosen)
+            seen += len(places)
         columns = [[TaskContext.get().partitionId() % BUCKETS], [float(seen)], [net.flat.tobytes()]]
         kinds = [pa.int32(), pa.float64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "n", "weights"])

@@ -74,6 +74,16 @@ def test_scores_against_brute_force_and_held_out(spark):
     assert model > sum(mixed) / sum(len(t.split()) for t in shuffled) + 0.5
 
 
+def test_every_word_is_a_target(spark):
+    for n in range(1, 5):
+        docs = spark.createDataFrame([(0, "a b c d"[: 2 * n - 1], 0)], DOCS).coalesce(1)
+        known = L.lexicon(docs)
+        net, want, coder = L.train(docs, known), L.Network(class_shares=known.class_shares), L.Coder(known)
+        padded, _, places, _ = coder.batch(["a b c d"[: 2 * n - 1]])
+        want.train(L.context_of(padded, places), padded[places])  # one step on all n words
+        assert np.allclose(net.flat, want.flat, atol=1e-6)
+
+
 def test_counts_cover_the_corpus(spark):
     texts = ["b a a", None, "", "A  a\nc\x1cd", "x" * 100000]
     out = {r.h: r.n for r in L.count_words(spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], DOCS)).collect()}
