@@ -4,6 +4,7 @@ One alternation finds e-mail addresses, phone numbers, IP addresses, card number
 and titled names. Mentions are normalised to entities, so that an entity has one surrogate wherever and
 however it's written. Surrogates come from a keyed hash; in rounds, those that two entities share, or that
 are themselves an entity of the corpus, are drawn again for all but one, until every entity has its own.
+After ``GRACE`` rounds surrogates get longer with each round, so no shape runs out of them.
 Only texts with mentions are shuffled. DataFrame functions only.
 """
 
@@ -18,6 +19,9 @@ from strandflow.llm.common import folded, located
 from strandflow.session import materialize
 
 KEY = "strandflow"
+#: Draws in an entity's own shape, beyond which surrogates grow.
+GRACE = 3
+ALPHANUMERIC = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -83,6 +87,11 @@ def _shaped(text: Column, stream: Column, offset: int) -> Column:
     return F.array_join(F.transform(_chars(text), one), "")
 
 
+def _more(stream: Column, grow: Column, values: str) -> Column:
+    """Two further characters for each round of growth."""
+    return F.array_join(F.transform(F.array_repeat(F.lit(0), grow * 2), lambda _, i: _pick(stream, 63 - i, [*values])), "")
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a digit string, its last digit counted once."""
 
@@ -94,7 +103,7 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(_chars(digits), weight), F.lit(0), lambda a, x: a + x)
 
 
-def _email(norm: Column, stream: Column) -> Column:
+def _email(norm: Column, stream: Column, grow: Column) -> Column:
     local = F.substring_index(norm, "@", 1)
     domain = F.substring_index(norm, "@", -1)
     tld = F.substring_index(domain, ".", -1)
@@ -102,7 +111,7 @@ def _email(norm: Column, stream: Column) -> Column:
     sub = F.substring(domain, F.lit(1), F.length(domain) - F.length(last_two))
     own = F.substring_index(last_two, ".", 1)
     reserved = F.when(tld.isin("com", "net", "org"), F.lit("example")).otherwise(_shaped(own, stream, 48))
-    return F.concat(_shaped(local, stream, 0), F.lit("@"), _shaped(sub, stream, 32), reserved, F.lit("."), tld)
+    return F.concat(_shaped(local, stream, 0), _more(stream, grow, ALPHANUMERIC), F.lit("@"), _shaped(sub, stream, 32), reserved, F.lit("."), tld)
 
 
 def _phone(norm: Column, stream: Column) -> Column:
@@ -115,16 +124,18 @@ def _phone(norm: Column, stream: Column) -> Column:
     return F.array_join(F.transform(_chars(norm), one), "")
 
 
-def _card(norm: Column, stream: Column) -> Column:
+def _card(norm: Column, stream: Column, grow: Column) -> Column:
     body = F.array_join(
         F.transform(_chars(F.expr("substring(norm, 1, length(norm) - 1)")), lambda c, i: F.when(i == 0, c).otherwise((_byte(stream, i) % 10).cast("string"))), ""
     )
+    body = F.concat(body, _more(stream, grow, ALPHANUMERIC[26:]))
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     valid = luhn_sum(norm) % 10 == 0  # a number that passes the check gets one that does
     return F.concat(body, F.when(valid, check).otherwise((check + 1) % 10).cast("string"))
 
 
-def _ip(norm: Column, stream: Column) -> Column:
+def _ip(norm: Column, stream: Column, grow: Column) -> Column:
+    """A private address has one of its block, then one of 10.0.0.0/8; at last all are of 2001:db8::/32, which holds more than there are."""
     octets = F.split(norm, r"\.")
     private = norm.rlike(r"^(?:10|127)\.")
     private_two = norm.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")
@@ -132,32 +143,37 @@ def _ip(norm: Column, stream: Column) -> Column:
     def one(c: Column, i: Column) -> Column:
         b = _byte(stream, i)
         kept = (private & (i == 0)) | (private_two & (i < 2))
-        return F.when(kept, c).when(i == 0, (b % 116 + 11).cast("string")).when(i == 3, (b % 254 + 1).cast("string")).otherwise(b.cast("string"))
+        wider = private_two & (grow > 0) & (i == 0)
+        return F.when(wider, "10").when(kept & (private | (grow == 0)), c).when(i == 0, (b % 116 + 11).cast("string")).when(i == 3, (b % 254 + 1).cast("string")).otherwise(b.cast("string"))
 
-    return F.array_join(F.transform(octets, one), ".")
+    groups = F.array(*(F.substring(stream, 4 * i + 1, 4) for i in range(6)))
+    return F.when(grow > 2, F.concat(F.lit("2001:db8:"), F.array_join(groups, ":"))).otherwise(F.array_join(F.transform(octets, one), "."))
 
 
-def _name(kind: Column, norm: Column, stream: Column) -> Column:
+def _name(kind: Column, norm: Column, stream: Column, grow: Column) -> Column:
     def of(script: str) -> Column:
         parts = [_pick(stream, F.lit(i), SYLLABLES[script]) for i in range(3)]
         ending = F.lit("")
         for k in NAME_KINDS:
             ending = F.when(kind == k, _pick(stream, F.lit(3), ENDINGS[script][k])).otherwise(ending)
-        return F.initcap(F.concat(*parts, ending))
+        more = F.array_join(F.transform(F.array_repeat(F.lit(0), grow), lambda _, i: _pick(stream, i + 4, SYLLABLES[script])), "")
+        return F.initcap(F.concat(*parts, more, ending))
 
     return F.when(norm.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(norm.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
     s = _bytes(kind, norm, attempt)
-    ssn = F.concat(F.lit("9"), F.substring(_shaped(norm, s, 0), 2, 8))  # no such number is given out
+    grow = F.greatest(attempt - (GRACE - 1), F.lit(0))
+    digits = _more(s, grow, ALPHANUMERIC[26:])
+    ssn = F.concat(F.lit("9"), F.substring(_shaped(norm, s, 0), 2, 8), digits)  # no such number is given out
     return (
-        F.when(kind == "email", _email(norm, s))
-        .when(kind == "phone", _phone(norm, s))
-        .when(kind == "ip", _ip(norm, s))
-        .when(kind == "card", _card(norm, s))
+        F.when(kind == "email", _email(norm, s, grow))
+        .when(kind == "phone", F.concat(_phone(norm, s), digits))
+        .when(kind == "ip", _ip(norm, s, grow))
+        .when(kind == "card", _card(norm, s, grow))
         .when(kind == "ssn", ssn)
-        .otherwise(_name(kind, norm, s))
+        .otherwise(_name(kind, norm, s, grow))
     )
 
 
@@ -206,9 +222,9 @@ def has_mention(text: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def formatted(kind: Column, raw: Column, made: Column) -> Column:
-    """The surrogate written as the mention was: digits in their places, capitals where all were."""
-    surplus = F.length(_digits(raw)) - F.length(made)  # a country code that the entity is written with or without
+def formatted(kind: Column, raw: Column, norm: Column, made: Column) -> Column:
+    """The surrogate written as the mention was: digits in their places, those beyond them at its end, capitals where all were."""
+    surplus = F.length(_digits(raw)) - F.length(norm)  # a country code that the entity is written with or without
     begin = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -217,6 +233,7 @@ def formatted(kind: Column, raw: Column, made: Column) -> Column:
         return F.struct((acc["n"] + F.when(digit, 1).otherwise(0)).alias("n"), F.concat(acc["out"], put).alias("out"))
 
     digits = F.aggregate(_chars(raw), begin, step, lambda acc: acc["out"])
+    digits = F.concat(digits, F.substring(made, F.length(norm) + 1, F.length(made)))
     upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(upper, F.upper(made)).otherwise(made)
 
@@ -262,7 +279,7 @@ def replace(docs: DataFrame) -> DataFrame:
     written = parts.join(named, ["kind", "norm"]).withColumn(
         "word", F.when(F.col("kind").isin(*NAME_KINDS), F.expr("split(raw, ' ')[part + 1]")).otherwise(F.col("raw"))
     )
-    written = written.withColumn("put", formatted(F.col("kind"), F.col("word"), F.col("surrogate")))
+    written = written.withColumn("put", formatted(F.col("kind"), F.col("word"), F.col("norm"), F.col("surrogate")))
     title = F.when(F.col("kind").isin(*NAME_KINDS), F.substring_index("raw", " ", 1))
     piece = F.struct("start", "part", "end", title.alias("title"), "put", "kind")
     lists = written.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(piece)).alias("pieces"))

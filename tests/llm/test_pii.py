@@ -64,6 +64,28 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(made)) == len(made) and not {*made} & {*names}
 
 
+def test_more_entities_than_a_shape_has_surrogates(spark):
+    mails = [f"{c}@d{i}.com" for c in "abcdefghijklmnopqrstuvwxyz" for i in range(3)] + [f"_@x{i}.com" for i in range(5)]
+    out = run(spark, [" ".join(mails)])[0].text.split()
+    assert len({*out}) == len(mails) and not {*out} & {*mails}
+    assert all(re.fullmatch(r"[a-z_][a-z0-9]*@example\.com", x) for x in out)
+
+
+def test_growth_keeps_formats(spark):
+    cases = [("phone", "7845558120"), ("ssn", "123456789"), ("card", "4111111111111111"), ("ip", "192.168.3.4"), ("ip", "8.8.8.8"), ("surname", "Smith")]
+    df = spark.createDataFrame([(k, n, a) for k, n in cases for a in (2, 3, 5)], "kind string, norm string, attempt int")
+    got = {(r.kind, r.norm, r.attempt): r.s for r in df.withColumn("s", pii.surrogate(*map(F.col, df.columns))).collect()}
+    for kind, n in (("phone", 10), ("ssn", 9), ("card", 16)):
+        norm = dict(cases)[kind]
+        assert [len(got[kind, norm, a]) for a in (2, 3, 5)] == [n, n + 2, n + 6]
+    assert all(luhn(got["card", "4111111111111111", a]) for a in (2, 3, 5))
+    assert got["ip", "192.168.3.4", 2].startswith("192.168.") and got["ip", "192.168.3.4", 3].startswith("10.")
+    assert all(re.fullmatch(r"2001:db8(:[0-9a-f]{4}){6}", got["ip", x, 5]) for x in ("192.168.3.4", "8.8.8.8"))
+    assert len({got["surname", "Smith", a] for a in (2, 3, 5)}) == 3
+    row = spark.range(1).select(pii.formatted(F.lit("phone"), F.lit("+1 (784) 555-8120"), F.lit("7845558120"), F.lit("203555444499")).alias("x"))
+    assert row.first().x == "+1 (203) 555-444499"
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     before = {r.doc_id: r.text for r in docs.collect()}
