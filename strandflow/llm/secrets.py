@@ -22,8 +22,8 @@ HEX = r"[0-9a-f]+"
 #: kind: (pattern, group whose length counts, least length), in the order that breaks ties of start.
 BASE_KINDS = {"assign": (ASSIGN, 2, 8), "access": (ACCESS, 0, 16), "hex": (r"[0-9a-f]{32,}", 0, 32)}
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 WINDOW = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Class: (all characters are of, bits that some window must reach). Log2 of the window is 4.32.
 CLASSES = {
     "digits": (r"^[0-9]+$", 3.2),
@@ -31,14 +31,15 @@ CLASSES = {
     "letters": (r"^[A-Za-z]+$", 4.0),
     "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.6),
 }
+#: A word of one case or capitalised that is shorter than a window, and a date.
+WORD = rf"(?:[A-Z]?[a-z]{{1,{WINDOW - 2}}}|[A-Z]{{1,{WINDOW - 1}}})"
+YEAR, MONTH, DAY = "(?:19|20)[0-9]{2}", "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])"
+DATE = f"(?:{YEAR}[-/_]{MONTH}[-/_]{DAY}|{DAY}[-/_]{MONTH}[-/_]{YEAR}|{MONTH}[-/_]{DAY}[-/_]{YEAR}|{YEAR})"
 #: Candidates that are no secrets whatever their entropy.
 ALLOW = (
-    r"^[a-z]+$",  # words of one case, however long
-    r"^[A-Z]+$",
-    r"^[A-Z]?[a-z]+$",
-    r"^[A-Za-z]+(?:[-_/+=]+[A-Za-z]+)*[-_/+=]*$",  # words joined by separators
+    rf"^{WORD}(?:[-_/+=]+{WORD})*[-_/+=]*$",  # words joined by separators
     r"^[-_=+/]+$",  # rules
-    r"^[0-9]+(?:[-/_][0-9]+)*$",  # numbers and dates
+    rf"^{DATE}(?:[-/_]+{DATE})*[-/_]*$",
     r"(?i)example|placeholder|changeme|your[-_]?(?:key|token|secret)",
     r"(.)\1{7,}",  # long runs of a character
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUIDs

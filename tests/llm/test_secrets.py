@@ -63,6 +63,21 @@ def test_brute_force(spark):
     assert any("entropy" in r.spans for r in out)
 
 
+def test_letters_digits_and_short_keys(spark):
+    texts = {
+        "k qWxZpLmKvTyRbNcJhGfDsAeUoIqP e": "entropy:2:30",  # letters
+        "k 9281736450192837465028 e": "entropy:2:24",  # digits
+        "k qW3eR5tY7uI9oP1aS2dF e": "entropy:2:22",  # as long as a window
+        "k qwxzplmkvtyrbncjhgfdsaeuoi e": "entropy:2:28",  # one case
+        "k qW-xZpLmKvTyRbNcJhGfDsAeUoIqP e": "entropy:2:31",
+        "some-words_joined/by-Separators internationalization KRANKENVERSICHERUNGEN": "",
+        "2020-01-01/2021-01-01-2022 31/12/2019-01/01/2020": "",
+    }
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id: r.spans for r in secrets.scan(docs).collect()} == dict(enumerate(texts.values()))
+    assert secrets.redact(docs.where("doc_id = 0")).first().text == "k [SECRET] e"
+
+
 def test_many_spans(spark):
     text = "".join(f"é{'%032x' % i}\n" for i in range(5000)) + " token=abcdefgh12" + " qW3eR5tY7uI9oP1aS2dF4gH6jK8lZ0xC" * 300
     out = secrets.scan(spark.createDataFrame([(1, text, "", "")], DOCS)).first()
