@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandflow.functions import scalars
 from strandflow.operators import cost, sequence
+from strandflow.operators.models import AdaptiveBit
 from strandflow.registry import query
 from strandflow.session import table
 
@@ -67,16 +72,45 @@ FROM b WHERE n < 121 GROUP BY user_id
 
 @query("adaptive_bits", "WIN07 WIN10 MDL01", ADAPTIVE_BITS)
 def adaptive_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of each user's purchase flags under the adaptive bit, while it counts."""
-    flag = F.col("event_type") == "purchase"
-    w = sequence.before(USER, ORDER)
-    df = events(spark, sf_dir).withColumns(
-        {"bits": cost.adaptive_bit_cost(flag, USER, ORDER), "n": F.count(F.lit(1)).over(w), "v": flag.cast("int")}
-    )
-    counted = df.where(F.col("n") < cost.COUNT_LIMIT)
-    return counted.groupBy("user_id").agg(
-        F.count("*").alias("symbols"), F.sum("v").alias("ones"), F.round(F.sum("bits"), 6).alias("bits")
-    )
+    """Cost of each user's purchase flags under the adaptive bit, which after ``COUNT_LIMIT`` rows forgets at a fixed rate.
+
+    The SQL has the rows before that limit only: it holds for users of no more rows.
+    """
+    return bit_costs(events(spark, sf_dir))
+
+
+def bit_costs(df: DataFrame) -> DataFrame:
+    """(user_id, symbols, ones, bits) by an ordered fold, in which a task holds one user's model and sums at a time."""
+    kind = df.schema["user_id"].dataType
+
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, state, symbols, ones, bits = None, None, 0, 0, 0.0
+        for batch in it:
+            done = []
+            for key, bit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if state is None or key != user:
+                    if state is not None:
+                        done.append((user, symbols, ones, bits))
+                    user, state, symbols, ones, bits = key, AdaptiveBit(), 0, 0, 0.0
+                bits -= math.log2(state.p if bit else 1 - state.p)
+                state.update(bit)
+                symbols, ones = symbols + 1, ones + bit
+            yield rows(batch.schema.field(0).type, done)
+            last = batch.schema.field(0).type
+        if state is not None:
+            yield rows(last, [(user, symbols, ones, bits)])
+
+    def rows(key: pa.DataType, done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * 4
+        kinds = [key, pa.int64(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["user_id", "symbols", "ones", "bits"]
+        )
+
+    flag = F.coalesce((F.col("event_type") == "purchase").cast("int"), F.lit(0))
+    ordered = df.select(*USER, *ORDER, flag.alias("v")).repartition(*USER).sortWithinPartitions(*USER, *ORDER)
+    folded = ordered.select(*USER, "v").mapInArrow(fold, f"user_id {kind.simpleString()}, symbols long, ones long, bits double")
+    return folded.withColumn("bits", F.round("bits", 6))
 
 
 DELTA_FIELD = """
