@@ -28,6 +28,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names hold."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in df.columns))
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_UPPER.lower())
 

@@ -93,3 +93,34 @@ def test_method_rejects_by_stratum(spark):
 def test_empty(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.judge(spark.createDataFrame([], DOCS), labels).count() == 0
+
+
+def test_repeats_prove_nothing(spark):
+    """A guarantee needs different good texts: neither rows nor copies that repeat one count again."""
+    rng = random.Random(3)
+    long = lambda i: " ".join(f"w{i}x{rng.randrange(10**6)}" for _ in range(60))
+    bad = "#$% " * 60
+    one = long(0)
+    labels = "doc_id long, quality int, toxic int"
+    rows = [(1, one, "en", 0, "")] * 600 + [(2, bad, "en", 0, "")]
+    out = quality.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], labels)).collect()
+    assert {r.cutoff for r in out} == {None}
+    rows = [(i, one, "en", 0, "") for i in range(600)] + [(1000, bad, "en", 0, "")]
+    marks = [(i, 1, 0) for i in range(600)] + [(1000, 0, 0)]
+    out = quality.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, labels)).collect()
+    assert {r.cutoff for r in out} == {None}
+    noisy = "# " * 30 + " ".join(f"a{i}" for i in range(90))  # passes the fixed rules; a third of its words repeat
+    rows = [(i, long(i), "en", 0, "") for i in range(299)] + [(1000, noisy, "en", 0, "")]
+    marks = [(i, 1, 0) for i in range(299)] + [(1000, 0, 0)]
+    out = quality.judge(spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, labels)).collect()
+    assert {r.cutoff for r in out} != {None} and not next(r.kept for r in out if r.doc_id == 1000)
+    # one fewer isn't enough
+    out = quality.judge(spark.createDataFrame(rows[1:], DOCS), spark.createDataFrame(marks, labels)).collect()
+    assert {r.cutoff for r in out} == {None}
+
+
+def test_good_documents_keep_all_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "a"), (2, "short", "en", "b"), (None, None, None, None)], "doc_id long, text string, lang string, `a.b` string")
+    out = quality.good_documents(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, text, "en", "a")]
