@@ -1,10 +1,11 @@
 """License scans: Aho-Corasick over normalised words, and licence expressions by a shunting-yard parser.
 
 A text's words are lower-cased and joined by single blanks, so that one automaton finds phrases across
-punctuation and line ends, and word numbers are counts of blanks. Notice phrases give labels. Where an
-identifier tag stands, the expression after it in the original text is parsed: ``with`` binds closest,
-then ``and``, then ``or``; parentheses group. An expression's licences become labels, and its score is
-how freely the text may be used: the least of what ``and`` joins, the greatest of what ``or`` joins.
+punctuation and line ends, and word numbers are counts of blanks. Notice phrases give labels. Behind each
+identifier tag that the automaton meets, up to the next, the expression in the original text is parsed:
+``with`` binds closest, then ``and``, then ``or``; parentheses group. An expression's licences become labels
+by family, as notices give them (``apache`` for Apache-2.0), and its score is how freely the text may be
+used: the least of what ``and`` joins, the greatest of what ``or`` joins.
 """
 
 from __future__ import annotations
@@ -53,27 +54,41 @@ RANK = {"or": 1, "and": 2, "with": 3}
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
-RAW_TAG = re.compile(r"(?i)spdx-license-identifier[ \t]*:?[ \t]*([^\n]*)")
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
+WORD = re.compile(rb"[^ ]+")
+TOKEN = re.compile(r"[()\n]|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
 
 
-def freedom(licence: str) -> float:
-    name = licence.lower().removesuffix("-only").removesuffix("-or-later").rstrip("+")
+def family(licence: str) -> str:
+    """The label of an identifier: its longest prefix in ``FREEDOM``, else itself in lower case."""
+    whole = name = licence.lower().removesuffix("-only").removesuffix("-or-later").rstrip("+")
     while name:
         if name in FREEDOM:
-            return FREEDOM[name]
+            return name
         name = name.rpartition("-")[0]
-    return UNKNOWN
+    return whole
+
+
+def freedom(licence: str) -> float:
+    return FREEDOM.get(family(licence), UNKNOWN)
 
 
 def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard. The longest well-formed start is taken; a bracket that doesn't close is closed at its end."""
+    """Shunting-yard. The longest well-formed start is taken; a bracket that doesn't close is closed at its end.
+
+    An expression ends with its line unless an operand is due or a bracket open; on the lines after its first
+    only licences of a known family are taken, as other words are prose.
+    """
     out: list[str] = []
     held: list[str] = []
-    operand_due = True
-    for token in TOKEN.findall(expression):
+    operand_due, first_line = True, True
+    for m in TOKEN.finditer(expression):
+        token = m[0]
         op = token.lower()
-        if op in RANK:
+        if token == "\n":
+            if not operand_due and "(" not in held:
+                break
+            first_line = False
+        elif op in RANK:
             if operand_due:
                 break
             while held and held[-1] != "(" and RANK[held[-1]] >= RANK[op]:
@@ -91,7 +106,7 @@ def to_postfix(expression: str) -> list[str]:
                 out.append(held.pop())
             held.pop()
         else:
-            if not operand_due:
+            if not operand_due or not (first_line or (held and held[-1] == "with") or family(token) in FREEDOM):
                 break
             out.append(token)
             operand_due = False
@@ -104,24 +119,21 @@ def to_postfix(expression: str) -> list[str]:
     return out
 
 
-def evaluate(expression: str) -> tuple[list[str], float]:
-    """(licences in lower case, score) of an expression; nothing parsed: none and 0."""
+def evaluate(postfix: list[str]) -> tuple[list[str], float]:
+    """(labels of the licences, score) of an expression; nothing parsed: none and 0."""
     stack: list[float] = []
     names: list[str] = []
-    exceptions = 0
-    postfix = to_postfix(expression)
     for i, token in enumerate(postfix):
         if token in RANK and len(stack) >= 2:
             right, left = stack.pop(), stack.pop()
             if token == "with":
                 stack.append(min(1.0, left + EXCEPTION))
-                exceptions += 1
             else:
                 stack.append(min(left, right) if token == "and" else max(left, right))
         else:
             stack.append(freedom(token))
             if not (i + 1 < len(postfix) and postfix[i + 1] == "with"):  # an exception is no licence
-                names.append(token.lower())
+                names.append(family(token))
     return names, (stack[-1] if stack else 0.0)
 
 
@@ -137,34 +149,39 @@ def automaton():
 
 
 def scan_text(text: str | None, found) -> tuple[int, int, int | None, int | None, str, str, float, list[str]]:
-    words = (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split(b" ")
-    words = [w for w in words if w]
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    blanked = raw.translate(WORD_BYTES)
+    words = [w for w in blanked.split(b" ") if w]
     joined = f" {b' '.join(words).decode('latin-1')} "
     starts: list[int] = []
     base: set[str] = set()
     more: set[str] = set()
-    tagged = False
+    tags: list[int] = []  # numbers of their first words
     at = word = 0
     hits = sorted((end - size + 1, kind, label) for end, (kind, label, size) in found.iter(joined))
     for start, kind, label in hits:
+        if kind == 1:
+            more.add(label)
+            continue
+        word += joined.count(" ", at, start)
+        at = start
         if kind == 0:
-            word += joined.count(" ", at, start)
-            at = start
             starts.append(word)
             base.add(label)
-        elif kind == 1:
-            more.add(label)
         else:
-            tagged = True
+            tags.append(word)
     scores = [freedom(x) for x in base | more]
     expressions: list[str] = []
-    if tagged:
-        for m in RAW_TAG.finditer(text or ""):
-            names, score = evaluate(m[1])
+    if tags:
+        spans = [m.span() for m in WORD.finditer(blanked)]
+        for tag, after in zip(tags, [*tags[1:], len(spans)], strict=True):
+            end = spans[after][0] if after < len(spans) else len(raw)
+            postfix = to_postfix(raw[spans[tag + len(TAG.split()) - 1][1] : end].decode("utf-8", "replace"))
+            names, score = evaluate(postfix)
             if names:
                 more.update(names)
                 scores.append(score)
-                expressions.append(" ".join(to_postfix(m[1])))
+                expressions.append(" ".join(postfix))
     return (
         len(words),
         len(starts),
@@ -189,7 +206,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text), see ``SCHEMA``; ``expressions`` are in postfix order.
 
     A null text counts as empty: no words, no labels, score 0. A text's score is the least over its notices
-    and expressions. Null ids and repeated rows are kept; an empty table gives an empty result.
+    and expressions. A tag with no licence behind it gives none. Null ids and repeated rows are kept; an
+    empty table gives an empty result; work grows in proportion to a text's length.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
