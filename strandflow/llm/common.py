@@ -16,6 +16,8 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 WORD_SPAN = "array<struct<start:int,kind:int,end:int,word:string>>"
 #: Items of an array that are folded into one block of its result.
 FOLD_BLOCK = 256
+#: Characters in a chunk of a text that is cut in many places.
+CHUNK = 1024
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -81,6 +83,24 @@ def folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[
     return F.transform(F.array(items), run)[0]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it, within lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chunks_of(text: Column) -> Column:
+    """The text in chunks of ``CHUNK`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to before ``end`` of a text in chunks, without reading it from its beginning."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor((end - 1) / CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(near, start - first * CHUNK + 1, end - start)).otherwise("")
+
+
 def located(text: Column, pattern: str, group: int, least: int, kind: int, words: bool = False) -> Column:
     """Spans of all leftmost matches; start and end count code points. ``group`` must have ``least`` characters.
 

@@ -1,10 +1,11 @@
 """Secret scans: fixed key patterns, and sliding-window entropy over candidate strings.
 
-The entropy of each window of a candidate is kept by incremental counts: as the window moves by a
-character, one count falls and one rises, and the sum of count * log2(count) changes by two table steps.
-A candidate's class is the smallest alphabet that holds it (digits, hex, letters, base64). Windows above
-the class's threshold make it a secret, unless an allow-list pattern fits the candidate. DataFrame
-functions only.
+The entropy of each window of a candidate is kept by incremental counts, an array by character: as the
+window moves by a character, one count falls and one rises, and the sum of count * log2(count) changes by
+two table steps. A candidate's class is the smallest alphabet that holds it (digits, hex, letters, base64).
+Windows above the class's threshold make it a secret, unless the allow-list clears the candidate. Patterns
+repeat characters only, never groups of them, so that time is in proportion to a text's length and the
+stack doesn't grow with it. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import SPAN, folded, located
+from strandflow.llm.common import SPAN, bound, chunks_of, cut, folded, located, whole_row
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -31,15 +32,14 @@ CLASSES = {
     "letters": (r"^[A-Za-z]+$", 4.0),
     "base64": (r"^[A-Za-z0-9+/_=-]+$", 3.6),
 }
-#: A word of one case or capitalised that is shorter than a window, and a date.
-WORD = rf"(?:[A-Z]?[a-z]{{1,{WINDOW - 2}}}|[A-Z]{{1,{WINDOW - 1}}})"
-YEAR, MONTH, DAY = "(?:19|20)[0-9]{2}", "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])"
-DATE = f"(?:{YEAR}[-/_]{MONTH}[-/_]{DAY}|{DAY}[-/_]{MONTH}[-/_]{YEAR}|{MONTH}[-/_]{DAY}[-/_]{YEAR}|{YEAR})"
-#: Candidates that are no secrets whatever their entropy.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Candidates that are no secrets whatever their entropy: those whose parts between separators all are words
+#: (of one case or capitalised, shorter than a window) or numbers of dates, and those that fit a pattern.
+SEPARATORS = r"[-_/+=]+"
+WORD = rf"[A-Z]?[a-z]{{1,{WINDOW - 2}}}|[A-Z]{{1,{WINDOW - 1}}}"
+DATE_PART = "(?:19|20)[0-9]{2}|0?[1-9]|[12][0-9]|3[01]"
+CLEAR_PART = rf"^(?:{WORD}|{DATE_PART})?$"
 ALLOW = (
-    rf"^{WORD}(?:[-_/+=]+{WORD})*[-_/+=]*$",  # words joined by separators
-    r"^[-_=+/]+$",  # rules
-    rf"^{DATE}(?:[-/_]+{DATE})*[-/_]*$",
     r"(?i)example|placeholder|changeme|your[-_]?(?:key|token|secret)",
     r"(.)\1{7,}",  # long runs of a character
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",  # UUIDs
@@ -48,48 +48,50 @@ ALLOW = (
 MARKER = "[SECRET]"
 
 
+#: What a count's term c * log2(c) counts as, so that sums are whole numbers and don't drift.
+UNIT = 1 << 40
+
+
 def max_window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy in bits of any ``window`` characters in a row, by incremental counts.
 
-    Strings shorter than the window give 0.
+    Strings shorter than the window give 0. Characters are those of ``ALPHABET``.
     """
-    table = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
-    chars = F.split(candidate, "")
-    start = F.struct(
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("n"),
-        F.lit(0.0).alias("s"),
-        F.lit(None).cast("double").alias("least"),
-    )
+    terms = F.array(*(F.lit(round(UNIT * c * math.log2(c)) if c else 0).cast("long") for c in range(window + 2)))
 
-    def g(n: Column) -> Column:
-        return F.element_at(table, n + 1)
-
-    def moved(counts: Column, char: Column, by: int) -> Column:
-        other = F.map_filter(counts, lambda k, _: k != char)
-        now = F.coalesce(F.try_element_at(counts, char), F.lit(0)) + by
-        return F.map_concat(other, F.map_from_arrays(F.array(char), F.array(now)))
+    def rise(n: Column) -> Column:
+        """What the sum grows by as a count of n becomes n + 1."""
+        return F.get(terms, n + 1) - F.get(terms, n)
 
     def step(acc: Column, x: Column) -> Column:
-        gone = F.when(x["leaves"].isNotNull(), F.coalesce(F.try_element_at(acc["n"], x["leaves"]), F.lit(0)))
-        s = acc["s"] - F.when(gone.isNotNull(), g(gone) - g(gone - 1)).otherwise(0.0)
-        counts = F.when(gone.isNotNull(), moved(acc["n"], x["leaves"], -1)).otherwise(acc["n"])
-        return F.struct(counts.alias("n"), s.alias("s"), acc["least"].alias("least"), x["enters"].alias("c"), x["i"].alias("i"))
-
-    def entered(mid: Column) -> Column:
-        had = F.coalesce(F.try_element_at(mid["n"], mid["c"]), F.lit(0))
-        s = mid["s"] + g(had + 1) - g(had)
-        least = F.when(mid["i"] >= window - 1, F.least(mid["least"], s)).otherwise(mid["least"])
-        return F.struct(moved(mid["n"], mid["c"], 1).alias("n"), s.alias("s"), least.alias("least"))
-
-    def both(acc: Column, x: Column) -> Column:
-        mid = F.transform(F.array(step(acc, x)), entered)  # binds the middle state to a name
-        return mid[0]
-
-    items = F.transform(
-        chars,
-        lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.get(chars, i - window)).alias("leaves"), i.alias("i")),
-    )
-    return F.aggregate(items, start, both, lambda acc: F.coalesce(F.lit(math.log2(window)) - acc["least"] / window, F.lit(0.0)))
+        n, enters, leaves = acc["n"], x["enters"], x["leaves"]
+        change = rise(F.get(n, enters)) - F.when(leaves >= 0, rise(F.get(n, leaves) - 1)).otherwise(0)
+        moved = F.transform(n, lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
+        same = enters == leaves
+        return bound(
+            F.when(same, acc["s"]).otherwise(acc["s"] + change),
+            lambda s: F.struct(
+                F.when(same, n).otherwise(moved).alias("n"), s.alias("s"), F.when(x["i"] >= window - 1, F.least(acc["least"], s)).otherwise(acc["least"]).alias("least")
+            ),
+        )
+
+    def run(codes: Column) -> Column:
+        items = F.transform(
+            codes,
+            lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.get(codes, i - window)).otherwise(-1).alias("leaves"), i.alias("i")),
+        )
+        start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("least"))
+        return F.aggregate(items, start, step, lambda acc: F.coalesce(F.lit(math.log2(window)) - acc["least"] / float(UNIT * window), F.lit(0.0)))
+
+    return bound(F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), run)
+
+
+def cleared(candidate: Column) -> Column:
+    """Whether the allow-list clears a candidate."""
+    found = F.forall(F.split(candidate, SEPARATORS), lambda part: part.rlike(CLEAR_PART))
+    for pattern in ALLOW:
+        found = found | candidate.rlike(pattern)
+    return found
 
 
 def entropy_spans(text: Column, kind: int) -> Column:
@@ -98,13 +100,10 @@ def entropy_spans(text: Column, kind: int) -> Column:
 
     def secret(span: Column) -> Column:
         word = span["word"]
-        allowed = F.lit(False)
-        for pattern in ALLOW:
-            allowed = allowed | word.rlike(pattern)
         threshold = F.lit(99.0)
         for pattern, bits in reversed(CLASSES.values()):
             threshold = F.when(word.rlike(pattern), bits).otherwise(threshold)
-        return F.when(allowed, False).otherwise(max_window_entropy(word) >= threshold)
+        return F.when(cleared(word), False).otherwise(max_window_entropy(word) >= threshold)
 
     bare = F.transform(F.filter(found, secret), lambda s: F.struct(s["start"], s["kind"], s["end"]))
     return bare.cast(SPAN)
@@ -120,7 +119,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
         for i, (name, (pattern, group, least)) in enumerate(BASE_KINDS.items())
     }
     base["entropy"] = F.when(F.col("__text").rlike(CANDIDATE), entropy_spans(F.col("__text"), len(BASE_KINDS))).otherwise(none)
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), text.alias("__text"))
+    rows = docs.select(whole_row(docs).alias("__row"), text.alias("__text"))
     spans = rows.select("__row", "__text", *(c.alias(n) for n, c in base.items()))
     ordered = F.array_sort(F.concat(*BASE_KINDS))
     spans = spans.withColumn("base", ordered)
@@ -140,8 +139,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of ``docs`` (doc_id, text).
 
     A null text counts as empty, and one without secrets has zero counts, the hash of the empty string and
-    empty spans. Repeated rows and null ids are kept, a row each; an empty table gives an empty result.
-    ``spans`` has the base kinds and ``entropy`` for candidates that no base span covers.
+    empty spans. Repeated rows and null ids are kept, a row each; an empty table gives an empty result; texts
+    and candidates may be of any length. ``spans`` has the base kinds and ``entropy`` for candidates that no base span covers.
     """
     names = [*BASE_KINDS, "entropy"]
     listed = with_spans(docs.select("doc_id", "text"))
@@ -163,19 +162,21 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, marker: str = MARKER) -> DataFrame:
     """``docs`` with each secret in the text, and each run of overlapping ones, replaced by ``marker``.
 
-    Texts without secrets, and nulls, stay as they are; ``n_chars`` follows the text where there is one.
+    Texts without secrets, and nulls, stay as they are, however long; ``n_chars`` follows the text where there
+    is one. Null ids and repeated rows are kept, a row each; an empty table gives an empty result.
     """
     found = with_spans(docs).withColumn("all", F.array_sort(F.concat("base", "added")))
 
-    def step(at: Column, x: Column) -> tuple[Column, Column]:
-        between = F.substring(F.col("__text"), at + 1, x["start"] - at)
-        fresh = (x["start"] >= at) & ((x["start"] > 0) | (at == 0))
-        piece = F.when(fresh, F.array(between, F.lit(marker))).otherwise(F.array().cast("array<string>"))
-        return F.greatest(at, x["end"]), piece
+    def redacted(chunks: Column) -> Column:
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            fresh = (x["start"] >= at) & ((x["start"] > 0) | (at == 0))
+            piece = F.when(fresh, F.array(cut(chunks, at, x["start"]), F.lit(marker))).otherwise(F.array().cast("array<string>"))
+            return F.greatest(at, x["end"]), piece
+
+        end = F.array_max(F.transform("all", lambda x: x["end"]))
+        return F.concat(F.array_join(folded(F.col("all"), F.lit(0), step, "array<string>"), ""), cut(chunks, end, F.length("__text")))
 
-    pieces = F.array_join(folded(F.col("all"), F.lit(0), step, "array<string>"), "")
-    rest = F.substring(F.col("__text"), F.array_max(F.transform("all", lambda x: x["end"])) + 1, F.length("__text"))
-    clean = F.when(F.size("all") > 0, F.concat(pieces, rest)).otherwise(F.col("__row.text"))
+    clean = F.when(F.size("all") > 0, bound(chunks_of(F.col("__text")), redacted)).otherwise(F.col("__row.text"))
     cleaned = found.select("__row", clean.alias("__clean"))
     return cleaned.select(*(_cleaned(c, docs) for c in docs.columns))
 

@@ -1,8 +1,11 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from strandflow.llm import secrets
 
 DOCS = "doc_id long, text string, source string, spans string"
@@ -16,6 +19,13 @@ def brute_entropy(word, window=secrets.WINDOW):
     return best
 
 
+PART = re.compile(r"(?:[A-Z]?[a-z]{1,18}|[A-Z]{1,19}|(?:19|20)[0-9]{2}|0?[1-9]|[12][0-9]|3[01])?")
+
+
+def brute_cleared(word):
+    return all(PART.fullmatch(p) for p in re.split("[-_/+=]+", word)) or any(re.search(p, word) for p in secrets.ALLOW)
+
+
 def brute(text):
     text = text or ""
     spans = []
@@ -25,7 +35,7 @@ def brute(text):
         spans += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, re.A) if len(m[group]) >= least]
     base = sorted(spans)
     for m in re.finditer(secrets.CANDIDATE, text):
-        if any(s <= m.start() and m.end() <= e for s, _, e in base) or any(re.search(p, m[0]) for p in secrets.ALLOW):
+        if any(s <= m.start() and m.end() <= e for s, _, e in base) or brute_cleared(m[0]):
             continue
         least = next(bits for p, bits in secrets.CLASSES.values() if re.search(p, m[0]))
         if brute_entropy(m[0]) >= least:
@@ -87,6 +97,34 @@ def test_many_spans(spark):
     assert clean.count(secrets.MARKER) == 5301 and "qW3eR5" not in clean
 
 
+def test_very_long_texts(spark):
+    """Neither the stack nor the time for a character grows with the text."""
+    rng = random.Random(4)
+    base64 = "".join(rng.choice(secrets.ALPHABET) for _ in range(200_000))
+    texts = ["a-" * 1_000_000, "2020-" * 200_000, base64, "=" * 1_000_000, "ab " * 300_000 + "token=abcdefgh12 " * 20_000, '"' * 500_000 + "password" * 100_000]
+    rows = [(i, t, "", "") for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out[0].spans == out[1].spans == out[3].spans == out[5].spans == "" and out[2].spans == "entropy:0:200000"
+    assert out[4].n_assign == 20_000
+    clean = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, DOCS)).collect()}
+    assert clean[2] == secrets.MARKER and clean[4] == "ab " * 300_000 + "[SECRET] " * 20_000
+    assert all(clean[i] == texts[i] for i in (0, 1, 3, 5))
+
+
+def test_window_entropy_against_recounts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice(secrets.ALPHABET[: rng.choice((2, 5, 66))]) for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for r in df.select("w", secrets.max_window_entropy(F.col("w")).alias("e")).collect():
+        assert math.isclose(r.e, brute_entropy(r.w), abs_tol=1e-9)
+
+
+def test_redact_keeps_all_columns(spark):
+    docs = spark.createDataFrame([(1, "é token=abcdefgh12 x", 20, "v"), (None, None, 3, None)], "doc_id long, text string, n_chars int, `a.b` string")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "é [SECRET] x", 12, "v"), (None, None, 3, None)]
+
+
 def test_sample_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: (r.base_sha256, r.spans) for r in secrets.scan(docs).collect()}
