@@ -1,29 +1,36 @@
 """Surrogates for personal data: keyed, of the same type, gender, script and format.
 
-One alternation finds e-mail addresses, phone numbers, IP addresses, card numbers, social security numbers
-and titled names. Mentions are normalised to entities, so that an entity has one surrogate wherever and
-however it's written. Surrogates come from a keyed hash; in rounds, those that two entities share, or that
-are themselves an entity of the corpus, are drawn again for all but one, until every entity has its own.
-After ``GRACE`` rounds surrogates get longer with each round, so no shape runs out of them.
-Only texts with mentions are shuffled. DataFrame functions only.
+One alternation finds e-mail addresses, phone numbers, IP addresses, card numbers, social security numbers,
+account numbers (IBAN) and titled names, and cuts a text into mentions and the gaps between them. Where a
+text names somebody by title, later mentions of those names alone are found in its gaps. Mentions are
+normalised to entities, so that an entity has one surrogate wherever and however it's written. Surrogates
+come from HMACs under the caller's key; in rounds, those that two entities share, or that are themselves an
+entity of the corpus, are drawn again for all but one, until every entity has its own. After ``GRACE``
+rounds surrogates get longer with each round, so no shape runs out of them.
+Only texts with mentions are shuffled. Patterns repeat groups a bounded number of times, and texts are put
+together from their pieces, so that stack and time hold on texts of any length. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import folded, located
+from strandflow.llm.common import bound
 from strandflow.session import materialize
 
-KEY = "strandflow"
+#: The setting that holds the key of ``op3_pii_surrogates``.
+KEY_SETTING = "spark.strandflow.pii.key"
 #: Draws in an entity's own shape, beyond which surrogates grow.
 GRACE = 3
 ALPHANUMERIC = "abcdefghijklmnopqrstuvwxyz0123456789"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: A domain has at most 127 labels.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,4}(?![0-9])"
@@ -34,12 +41,16 @@ PHONE = (
 )
 MALE = r"Mr|Sir|Herr|Señor|Sr|Monsieur|Господин|Κύριος"
 FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|Госпожа|Κυρία"
-NAME_WORD = r"\p{Lu}[\p{L}'-]+"
-NAME = rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.?\x20{NAME_WORD}(?:\x20{NAME_WORD}){{0,2}}"
-ANY = "|".join((EMAIL, IP, SSN, CARD, PHONE, NAME))
+#: Titles stand as they are, in capitals or in small letters, but for those that are units or words then.
+SMALL = r"(?!(?-i:ms|sr|sir|miss)\b)"
+NAME_WORD = rf"(?!(?iu:{MALE}|{FEMALE})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'-]*+"  # and no title
+NAME = rf"(?<![\p{{L}}\p{{N}}]){SMALL}(?iu:{MALE}|{FEMALE})(?:\.\s*+|\s++){NAME_WORD}(?:\x20{NAME_WORD}){{0,2}}"
+ANY = "|".join((EMAIL, IBAN, IP, SSN, CARD, PHONE, NAME))
+#: A word, as names are looked up in gaps and mentions.
+TOKEN = r"[\p{L}][\p{L}'-]*+"
 
-#: What every titled name holds.
-TITLES = ("Mr", "Ms", "Miss", "Sir", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "Mlle", "Госп", "Κύρι", "Κυρί")
+#: What every titled name holds, in small letters.
+TITLES = ("mr", "ms", "miss", "sir", "herr", "frau", "señor", "sr", "monsieur", "madame", "mme", "mlle", "госп", "κύρι", "κυρί")
 
 #: Syllables and endings of made-up names by script.
 SYLLABLES = {
@@ -63,10 +74,19 @@ def _chars(text: Column) -> Column:
     return F.split(text, "")
 
 
-def _bytes(kind: Column, norm: Column, attempt: Column) -> Column:
+def hmac_sha256(key: str, message: Column) -> Column:
+    """HMAC-SHA256 in hex, of a string column."""
+    block = key.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    digest = F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256)
+    return F.sha2(F.concat(outer, F.unhex(digest)), 256)
+
+
+def _bytes(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """64 keyed bytes in hex."""
-    seed = F.concat_ws("|", F.lit(KEY), kind, attempt.cast("string"), norm)
-    return F.concat(F.sha2(F.concat(F.lit("0"), seed), 256), F.sha2(F.concat(F.lit("1"), seed), 256))
+    seed = F.concat_ws("|", kind, attempt.cast("string"), norm)
+    return F.concat(*(hmac_sha256(key, F.concat(F.lit(half), seed)) for half in "01"))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -134,6 +154,33 @@ def _card(norm: Column, stream: Column, grow: Column) -> Column:
     return F.concat(body, F.when(valid, check).otherwise((check + 1) % 10).cast("string"))
 
 
+def mod97(text: Column) -> Column:
+    """The number that a text of digits and capitals writes, letters as 10 to 35, modulo 97."""
+
+    def add(left: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(letter < 10, (left * 10 + F.ascii(c) - 48) % 97).otherwise((left * 100 + letter) % 97)
+
+    return F.aggregate(_chars(text), F.lit(0), add)
+
+
+def _iban_fits(norm: Column) -> Column:
+    return mod97(F.concat(F.substring(norm, 5, 64), F.substring(norm, 1, 4))) == 1
+
+
+def _iban(norm: Column, stream: Column, grow: Column) -> Column:
+    """The country stays, digits become digits and letters letters, and the check digits fit."""
+
+    def one(c: Column, i: Column) -> Column:
+        b = _byte(stream, i)
+        return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).otherwise(F.char(F.lit(65) + b % 26))
+
+    country = F.substring(norm, 1, 2)
+    body = F.concat(F.array_join(F.transform(_chars(F.substring(norm, 5, 64)), one), ""), _more(stream, grow, ALPHANUMERIC[26:]))
+    check = F.lit(98) - mod97(F.concat(body, country, F.lit("00")))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+
 def _ip(norm: Column, stream: Column, grow: Column) -> Column:
     """A private address has one of its block, then one of 10.0.0.0/8; at last all are of 2001:db8::/32, which holds more than there are."""
     octets = F.split(norm, r"\.")
@@ -162,8 +209,11 @@ def _name(kind: Column, norm: Column, stream: Column, grow: Column) -> Column:
     return F.when(norm.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(norm.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
-    s = _bytes(kind, norm, attempt)
+def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+    return bound(_bytes(key, kind, norm, attempt), lambda s: _surrogate(kind, norm, attempt, s))
+
+
+def _surrogate(kind: Column, norm: Column, attempt: Column, s: Column) -> Column:
     grow = F.greatest(attempt - (GRACE - 1), F.lit(0))
     digits = _more(s, grow, ALPHANUMERIC[26:])
     ssn = F.concat(F.lit("9"), F.substring(_shaped(norm, s, 0), 2, 8), digits)  # no such number is given out
@@ -173,90 +223,104 @@ def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
         .when(kind == "ip", _ip(norm, s, grow))
         .when(kind == "card", _card(norm, s, grow))
         .when(kind == "ssn", ssn)
+        .when(kind == "iban", _iban(norm, s, grow))
         .otherwise(_name(kind, norm, s, grow))
     )
 
 
-def mentions_of(text: Column) -> Column:
-    """Mentions: start, end, raw, and their entities: kind and norm."""
+def name_norm(word: Column) -> Column:
+    """A name's norm: capitalised, without an owner's ending."""
+    return F.initcap(F.regexp_replace(word, r"'(?:[sS])?$|-+$", ""))
 
-    def whole(pattern: str) -> Callable[[Column], Column]:
-        return lambda raw: raw.rlike(rf"^(?:{pattern})$")
 
-    def mention(span: Column) -> Column:
-        raw = span["word"]
-        digits = _digits(raw)
-        words = F.slice(F.split(raw, " "), 2, 3)
-        given = F.when(raw.rlike(rf"^(?:{FEMALE})\.?\x20"), "given-f").otherwise("given-m")
-        names = F.transform(
-            words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise(given).alias("kind"), F.initcap(w).alias("norm"))
-        )
+def name_rest(word: Column) -> Column:
+    """What ``name_norm`` leaves off."""
+    return F.regexp_extract(word, r"('(?:[sS])?|-+)$", 0)
 
-        def one(kind: str, norm: Column) -> Column:
-            return F.array(F.struct(F.lit(kind).alias("kind"), norm.alias("norm")))
 
-        parts = (
-            F.when(F.contains(raw, F.lit("@")), one("email", F.lower(raw)))
-            .when(whole(IP)(raw), one("ip", raw))
-            .when(whole(SSN)(raw), one("ssn", digits))
-            .when(whole(CARD)(raw), one("card", digits))
-            .when(whole(PHONE)(raw), one("phone", F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits)))
-            .otherwise(names)
-        )
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), raw.alias("raw"), parts.alias("parts"))
+def parts_of(raw: Column) -> Column:
+    """The entities of a mention: kind and norm; norm is null where check digits tell that it's none."""
 
-    return F.transform(located(text, ANY, 0, 0, 0, words=True), mention)
+    def whole(pattern: str) -> Column:
+        return raw.rlike(rf"^(?:{pattern})$")
+
+    def one(kind: str, norm: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), norm.alias("norm")))
+
+    digits = _digits(raw)
+    given = F.when(raw.rlike(rf"^(?iu:{FEMALE})(?![\p{{L}}])"), "given-f").otherwise("given-m")
+    words = F.slice(F.regexp_extract_all(raw, F.lit(TOKEN), F.lit(0)), 2, 3)
+    names = bound(words, lambda ws: F.transform(ws, lambda w, i: F.struct(F.when(i == F.size(ws) - 1, "surname").otherwise(given).alias("kind"), name_norm(w).alias("norm"))))
+    return (
+        F.when(F.contains(raw, F.lit("@")), one("email", F.lower(raw)))
+        .when(whole(IP), one("ip", raw))
+        .when(whole(SSN), one("ssn", digits))
+        .when(whole(CARD), one("card", digits))
+        .when(whole(IBAN), bound(F.regexp_replace(raw, " ", ""), lambda n: one("iban", F.when(_iban_fits(n), n))))
+        .when(whole(PHONE), one("phone", F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits)))
+        .otherwise(names)
+    )
+
+
+def pieces_of(text: Column) -> Column:
+    """The text as gaps, each with the mention behind it (``raw``, and its ``parts``; the last gap has none)."""
+    raws = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    pairs = F.arrays_zip(F.split(text, ANY).alias("gap"), raws.alias("raw"))
+    return F.transform(pairs, lambda x: F.struct(x["gap"].alias("gap"), x["raw"].alias("raw"), F.when(x["raw"].isNotNull(), parts_of(x["raw"])).alias("parts")))
 
 
 def has_mention(text: Column) -> Column:
     """Whether any pattern fits; each is tried only where the characters that it needs are there."""
-    titled = F.contains(text, F.lit(TITLES[0]))
+    small = F.lower(text)
+    titled = F.contains(small, F.lit(TITLES[0]))
     for t in TITLES[1:]:
-        titled = titled | F.contains(text, F.lit(t))
+        titled = titled | F.contains(small, F.lit(t))
     numbers = "|".join((IP, SSN, CARD, PHONE))
     found = (
         (F.contains(text, F.lit("@")) & text.rlike(EMAIL))
         | (text.rlike(r"[0-9][0-9.]") & text.rlike(numbers))
+        | text.rlike(IBAN)
         | (titled & text.rlike(NAME))
     )
     return F.coalesce(found, F.lit(False))
 
 
 def formatted(kind: Column, raw: Column, norm: Column, made: Column) -> Column:
-    """The surrogate written as the mention was: digits in their places, those beyond them at its end, capitals where all were."""
-    surplus = F.length(_digits(raw)) - F.length(norm)  # a country code that the entity is written with or without
+    """The surrogate written as the mention was: digits (of accounts, letters too) in their places, those beyond at its end, capitals where all were."""
+    account = kind == "iban"
+    surplus = F.when(account, 0).otherwise(F.length(_digits(raw)) - F.length(norm))  # a country code that the entity is written with or without
     begin = F.struct(F.lit(0).alias("n"), F.lit("").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
-        put = F.when(digit & (acc["n"] >= surplus), F.substring(made, acc["n"] - surplus + 1, F.lit(1))).otherwise(c)
-        return F.struct((acc["n"] + F.when(digit, 1).otherwise(0)).alias("n"), F.concat(acc["out"], put).alias("out"))
+        own = F.when(account, c.rlike("[0-9A-Z]")).otherwise(c.rlike("[0-9]"))
+        put = F.when(own & (acc["n"] >= surplus), F.substring(made, acc["n"] - surplus + 1, F.lit(1))).otherwise(c)
+        return F.struct((acc["n"] + F.when(own, 1).otherwise(0)).alias("n"), F.concat(acc["out"], put).alias("out"))
 
     digits = F.aggregate(_chars(raw), begin, step, lambda acc: acc["out"])
     digits = F.concat(digits, F.substring(made, F.length(norm) + 1, F.length(made)))
-    upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(upper, F.upper(made)).otherwise(made)
+    upper = (raw == F.upper(raw)) & (raw != F.lower(raw)) & (F.length(raw) > 1)
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), digits).when(upper, F.upper(made)).otherwise(made)
+
 
+def assign(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, surrogate): each entity its own, and none that of the corpus. ``entities``: distinct (kind, norm).
 
-def assign(entities: DataFrame) -> DataFrame:
-    """(kind, norm, surrogate): each entity its own, and none that of the corpus. ``entities``: distinct (kind, norm)."""
-    originals = entities.select(F.col("kind").alias("k"), F.col("norm").alias("made"))
+    Each round keeps one entity of those that drew a surrogate that is free. Rounds end: from ``GRACE`` on the
+    space of surrogates of any shape grows many times over with each, while those without one only get fewer.
+    """
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = entities.select("kind", F.col("norm").alias("surrogate"))
     pending = entities.withColumn("attempt", F.lit(0))
     done: list[DataFrame] = []
     while True:
-        drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt")))
+        drawn = pending.repartition(tasks, "kind", "norm").withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
         drawn = materialize(drawn, "pii-drawn")
         first = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))  # one of those that drew it
-        used = originals
-        for d in done:
-            used = used.union(d.select(F.col("kind").alias("k"), F.col("surrogate").alias("made")))
-        free = first.join(used, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("made")), "left_anti")
-        kept = materialize(free.select("kind", "norm", "surrogate"), "pii-kept")
+        kept = materialize(first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "norm", "surrogate"), "pii-kept")
         done.append(kept)
-        pending = materialize(
-            drawn.join(kept.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")),
-            "pii-pending",
-        )
+        taken = taken.union(kept.select("kind", "surrogate"))
+        pending = drawn.join(kept.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
+        pending = materialize(pending, "pii-pending")
         if pending.isEmpty():
             out = done[0]
             for d in done[1:]:
@@ -264,41 +328,76 @@ def assign(entities: DataFrame) -> DataFrame:
             return out
 
 
-def replace(docs: DataFrame) -> DataFrame:
+def rewritten(pieces: Column, made: Column, names: Column) -> Column:
+    """The text of ``pieces``, each mention with the surrogate of its place in ``made``; ``names``: (kind, norm, made) of the text's names."""
+
+    def renamed(text: Column, title: bool, maps: list[Column]) -> Column:
+        """Words that are names of the text, replaced; the first word of a titled mention stays."""
+
+        def name(word: Column, i: Column) -> Column:
+            norm = name_norm(word)
+            found = F.when(word.rlike(r"^\p{Lu}"), F.coalesce(*(F.try_element_at(m, norm) for m in maps)))
+            new = F.concat(formatted(F.lit("surname"), F.regexp_replace(word, r"'[sS]$", ""), norm, found), name_rest(word))
+            return F.coalesce(F.when(i > 0, new) if title else new, word)
+
+        words = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), name)
+        pairs = F.arrays_zip(F.split(text, TOKEN).alias("gap"), words.alias("word"))
+        return F.array_join(F.transform(pairs, lambda p: F.concat(p["gap"], F.coalesce(p["word"], F.lit("")))), "")
+
+    def written(maps: list[Column]) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            raw, part = piece["raw"], F.get(piece["parts"], F.lit(0))
+            mention = F.when(part["kind"].isin(*NAME_KINDS), renamed(raw, True, maps)).otherwise(formatted(part["kind"], raw, part["norm"], F.get(made, i)["made"]))
+            gap = F.when(F.size(names) > 0, renamed(piece["gap"], False, maps)).otherwise(piece["gap"])
+            return F.concat(gap, F.coalesce(mention, raw, F.lit("")))
+
+        return F.array_join(F.transform(pieces, one), "")
+
+    def with_maps(maps: list[Column], kinds: tuple[str, ...]) -> Column:
+        if not kinds:
+            return written(maps)
+        own = F.filter(names, lambda e: e["kind"] == kinds[0])
+        return bound(F.map_from_entries(F.transform(own, lambda e: F.struct(e["norm"], e["made"]))), lambda m: with_maps([*maps, m], kinds[1:]))
+
+    return with_maps([], NAME_KINDS)
+
+
+def replace(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with surrogates, n_mentions and kinds for each row of ``docs`` (doc_id, text).
 
-    Null texts stay null; texts without mentions stay as they are. Null ids and repeated rows are kept, a
-    row each; an empty table gives an empty result.
+    ``key`` decides the surrogates: with the same key and corpus they're the same again. It stands in the
+    query's plan, so event logs and the UI need the key's protection. Null texts stay null; texts without
+    mentions stay as they are, and texts may be of any length. Null ids and repeated rows are kept, a row
+    each; an empty table gives an empty result. ``n_mentions`` counts those that the patterns find, without
+    the names alone that were found through them; a word that is a given name and a surname of a text has
+    the surrogate of the first.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"))
+    rows = docs.select("doc_id", "text")
     hit = has_mention(F.col("text"))
-    found = rows.where(hit).select("doc_id", "copy", F.explode(mentions_of(F.col("text"))).alias("m"))
-    parts = found.select("doc_id", "copy", "m.start", "m.end", "m.raw", F.posexplode("m.parts").alias("part", "entity"))
-    parts = materialize(parts.select("doc_id", "copy", "start", "end", "raw", "part", "entity.kind", "entity.norm"), "pii-mentions")
-    named = assign(materialize(parts.select("kind", "norm").distinct(), "pii-entities"))
-    written = parts.join(named, ["kind", "norm"]).withColumn(
-        "word", F.when(F.col("kind").isin(*NAME_KINDS), F.expr("split(raw, ' ')[part + 1]")).otherwise(F.col("raw"))
-    )
-    written = written.withColumn("put", formatted(F.col("kind"), F.col("word"), F.col("norm"), F.col("surrogate")))
-    title = F.when(F.col("kind").isin(*NAME_KINDS), F.substring_index("raw", " ", 1))
-    piece = F.struct("start", "part", "end", title.alias("title"), "put", "kind")
-    lists = written.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(piece)).alias("pieces"))
-    lists = lists.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "pieces")
-
-    def step(at: Column, x: Column) -> tuple[Column, Column]:
-        gap = F.substring(F.col("text"), at + 1, x["start"] - at)
-        lead = F.when(x["part"] == 0, F.concat(gap, F.coalesce(F.concat(x["title"], F.lit(" ")), F.lit("")))).otherwise(" ")
-        return x["end"], F.array(lead, x["put"])
-
-    rest = F.substring(F.col("text"), F.element_at("pieces", -1)["end"] + 1, F.length("text"))
-    clean = F.concat(F.array_join(folded(F.col("pieces"), F.lit(0), step, "array<string>"), ""), rest)
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("pieces", lambda x: x["kind"]))), ",")
-    n = F.size(F.filter("pieces", lambda x: x["part"] == 0)).cast("long")
+    found = rows.where(hit).select("doc_id", F.xxhash64("text").alias("copy"), pieces_of(F.col("text")).alias("pieces"))
+    found = materialize(found, "pii-pieces")
+    mentions = found.select("doc_id", "copy", F.posexplode("pieces").alias("at", "piece")).where("piece.raw is not null")
+    parts = mentions.select("doc_id", "copy", "at", F.posexplode("piece.parts").alias("part", "e")).select("doc_id", "copy", "at", "part", "e.kind", "e.norm")
+    entities = parts.where("norm is not null").select("kind", "norm").distinct()
+    named = assign(materialize(entities, "pii-entities"), key).withColumnRenamed("surrogate", "made")
+    pairs = parts.join(named, ["kind", "norm"], "left")
+    # sets, as rows may repeat: the first parts of all mentions in order, and the names
+    first = F.collect_set(F.when(F.col("part") == 0, F.struct("at", "kind", "made")))
+    names = F.collect_set(F.when(F.col("kind").isin(*NAME_KINDS), F.struct("kind", "norm", "made")))
+    lists = pairs.groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.array_sort(first).alias("made"), names.alias("names"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("copy") == F.col("__copy"))
-    changed = rows.where(hit).join(lists, same).select("doc_id", clean.alias("text"), n.alias("n_mentions"), kinds.alias("kinds"))
+    kinds = F.array_union(F.transform(F.filter("made", lambda e: e["made"].isNotNull()), lambda e: e["kind"]), F.transform("names", lambda e: e["kind"]))
+    changed = found.join(lists, same).select(
+        "doc_id",
+        rewritten(F.col("pieces"), F.col("made"), F.col("names")).alias("text"),
+        F.size(F.filter("made", lambda e: e["made"].isNotNull())).cast("long").alias("n_mentions"),
+        F.array_join(F.array_sort(kinds), ",").alias("kinds"),
+    )
     rest = rows.where(~hit).select("doc_id", "text", F.lit(0).cast("long").alias("n_mentions"), F.lit("").alias("kinds"))
     return rest.union(changed)
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The key is the session's ``KEY_SETTING``; where it's unset, one drawn for this run, and lost with it."""
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    return replace(spark.read.parquet(f"{sf_dir}/documents.parquet"), key)
