@@ -2,9 +2,12 @@
 
 Each task packs its own documents as they come, so that no shuffle is needed and a lost task can be run
 again alone. What a document holds beyond whole windows goes to the fill level where the sum of squared
-counts of partially filled windows grows least; the counts stand in an array by level. Windows still open
-at the end, or when too many are open, are cut together into whole windows, and a last rest is cut into
-lengths that are powers of two, which aren't padded.
+counts of partially filled windows grows least; the counts stand in an array by level. Beyond ``MAX_OPEN``
+open windows each new one has the fullest completed, and at the task's end all are, fullest first: by the
+largest open windows that fit whole, as the level array tells, and what no level fits by a cut from the
+emptiest. A last rest is cut into lengths that are powers of two, so that nothing is padded. ``closed`` tells
+how a piece's sequence came about: ``whole`` (cut from one document), ``placed`` (filled by placement alone),
+``joined`` (completed by whole windows) or ``cut`` (completed by a cut).
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, and their greatest length in bytes.
 CACHE = 600_000
 CACHED_BYTES = 64
-#: Open windows held in memory.
-MAX_OPEN = 2048
+#: Open windows held in memory, 8 KB each at most.
+MAX_OPEN = 8192
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed string"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+KINDS = [pa.int64()] * 7 + [pa.string()]
 #: Letters, then marks, none of them an apostrophe: a token ends between the two in any case.
 LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
 HEAD = re.compile(rb"(" + LETTER + rb"+)([!-&(-/:-@\[-`{-~]*)")
@@ -154,7 +158,7 @@ class Packer:
         size = len(ids) // 4
         whole = size - size % self.window
         for at in range(0, whole, self.window):
-            self.close([(row, at, ids[4 * at : 4 * (at + self.window)])])
+            self.close([(row, at, ids[4 * at : 4 * (at + self.window)])], "whole")
         if size > whole:
             self.place((row, whole, ids[4 * whole :]), size - whole)
 
@@ -166,56 +170,74 @@ class Packer:
         change[n[: window - size + 1] == 0] = np.iinfo(np.int64).max
         change[0] = rise[0]  # a new window
         level = len(change) - 1 - int(np.argmin(change[::-1]))  # of equals the fullest
-        if level:
-            held = self.open[level].pop()
-            n[level] -= 1
-            self.n_open -= 1
-        else:
-            held = []
+        held = self.pop(level) if level else []
         held.append(piece)
         if level + size == window:
-            self.close(held)
+            self.close(held, "placed")
             return
-        n[level + size] += 1
-        self.n_open += 1
-        self.open.setdefault(level + size, []).append(held)
+        self.push(level + size, held)
         if self.n_open > self.max_open:
-            self.recut(last=False)
+            self.complete(self.fullest(window))
+
+    def push(self, level: int, held: list) -> None:
+        self.counts[level] += 1
+        self.n_open += 1
+        self.open.setdefault(level, []).append(held)
+
+    def pop(self, level: int) -> list:
+        self.counts[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def fullest(self, below: int) -> int:
+        """The greatest level under ``below`` that has an open window, or 0."""
+        levels = np.flatnonzero(self.counts[:below])
+        return int(levels[-1]) if len(levels) else 0
 
-    def close(self, pieces: Iterable[tuple]) -> None:
+    def close(self, pieces: Iterable[tuple], closed: str) -> None:
         offset = 0
         for (doc_id, tokens), start, ids in pieces:
             size = len(ids) // 4
-            self.rows.append((doc_id, start, size, zlib.crc32(ids), tokens, self.next_id, offset))
+            self.rows.append((doc_id, start, size, zlib.crc32(ids), tokens, self.next_id, offset, closed))
             offset += size
         self.next_id += 1
 
-    def recut(self, last: bool) -> None:
-        """Cut all open windows together into whole ones; of the rest, if it's the last, powers of two."""
-        pieces = [p for level in sorted(self.open, reverse=True) for held in self.open[level] for p in held]
-        total = sum(len(ids) // 4 for _, _, ids in pieces)
-        whole, rest = divmod(total, self.window)
-        sizes = [self.window] * whole
-        if last:
-            sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        self.counts[:] = 0
-        self.open, self.n_open = {}, 0
-        queue = iter(pieces)
-        piece = next(queue, None)
-        for size in sizes:
-            held = []
-            while size:
-                row, start, ids = piece
-                have = len(ids) // 4
-                take = min(have, size)
-                held.append((row, start, ids[: 4 * take]))
-                size -= take
-                piece = (row, start + take, ids[4 * take :]) if take < have else next(queue, None)
-            self.close(held)
-        if not last and rest:
-            held = [piece, *queue]
-            self.open, self.n_open = {rest: [held]}, 1
-            self.counts[rest] = 1
+    def complete(self, level: int) -> None:
+        """Fill a window of this level with whole open windows, the largest that fit, then by a cut from the emptiest."""
+        held = self.pop(level)
+        while level < self.window and (other := self.fullest(self.window - level + 1)):
+            held += self.pop(other)
+            level += other
+        if level < self.window and self.n_open:
+            other = int(np.flatnonzero(self.counts)[0])
+            left = self.split(self.pop(other), self.window - level, held)
+            self.push(other - (self.window - level), left)
+            self.close(held, "cut")
+        elif level == self.window:
+            self.close(held, "joined")
+        else:  # the last rest: powers of two
+            for b in range(level.bit_length() - 1, -1, -1):
+                if level >> b & 1:
+                    part: list = []
+                    held = self.split(held, 1 << b, part)
+                    self.close(part, "cut")
+
+    @staticmethod
+    def split(pieces: list[tuple], size: int, into: list) -> list[tuple]:
+        """Move ``size`` tokens of pieces into another list; what is left."""
+        for i, (row, start, ids) in enumerate(pieces):
+            have = len(ids) // 4
+            if have > size:
+                if size:
+                    into.append((row, start, ids[: 4 * size]))
+                return [(row, start + size, ids[4 * size :]), *pieces[i + 1 :]]
+            into.append((row, start, ids))
+            size -= have
+        return []
+
+    def finish(self) -> None:
+        while level := self.fullest(self.window):
+            self.complete(level)
 
     def take(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -224,14 +246,15 @@ class Packer:
 
 def record_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[] for _ in NAMES]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, KINDS, strict=True)], names=NAMES)
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """A row for each piece, see ``SCHEMA``. ``path``: the vocabulary, on every executor.
 
     Null and empty texts have the end token alone. Null ids and repeated rows are packed like others; an
-    empty table gives an empty result. Sequence ids hold the task's number in their upper bits.
+    empty table gives an empty result; documents of many windows are cut into whole ones. Sequence ids hold
+    the task's number in their upper bits.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +265,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             for doc_id, own in zip(batch.column(0).to_pylist(), ids, strict=True):
                 packer.add((doc_id, len(own) // 4 + 1), own + END)
             yield record_batch(packer.take())
-        packer.recut(last=True)
+        packer.finish()
         yield record_batch(packer.take())
 
     bounded_batches(docs.sparkSession)
