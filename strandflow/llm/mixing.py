@@ -1,10 +1,10 @@
 """Mixing sources to target weights by nested hash thresholds.
 
-Every row gets a 36-bit hash of its id. Tokens are summed by source and hash bucket; in each source the
+Every row gets a 36-bit hash of its id and text. Tokens are summed by source and hash bucket; in each source the
 first buckets whose sum fits the budget are taken whole, and only the bucket on the boundary is summed
 again by the next 12 bits of the hash. After three levels the rows left on the boundary share one hash
-value and take the same fraction of their tokens, so each source meets its target to within a token for
-each such row. Nothing is sorted, a larger budget takes a superset of a smaller one, and reruns agree.
+value: they're one document, or rows that repeat it, and take the same fraction of their tokens, so each
+source meets its target to within a token for each such row. Nothing is sorted, a larger budget takes a superset of a smaller one, and reruns agree.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import join_side
+from strandflow.llm.common import join_side, whole_row
 from strandflow.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
@@ -31,9 +30,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_hash(doc_id: Column) -> Column:
-    """36 bits of the md5 of the id; a null id hashes as an empty string."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 9), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """36 bits of the md5 of the id and the text's md5, so that null and repeated ids don't share one; nulls hash as empty strings."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(name), 1, 9), 16, 10).cast("long")
 
 
 def bucket(level: int) -> Column:
@@ -47,14 +47,14 @@ def source_ranks(sizes: DataFrame) -> DataFrame:
     ordered = materialize(
         totals.orderBy(F.col("source").asc_nulls_last()).withColumn("__at", F.monotonically_increasing_id()), "mix-sources"
     )
-    parts = ordered.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("n"))
+    parts = ordered.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("n"))  # a row for each partition of sources
     before = parts.select(
         "__part",
         F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )  # one row for each partition of the small table
     return (
         ordered.withColumn("__part", F.shiftright("__at", 33))
-        .join(F.broadcast(before), "__part")
+        .transform(lambda df: join_side(df, before, ["__part"]))
         .select("source", "source_size", (F.col("before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias("rank"))
     )
 
@@ -121,14 +121,15 @@ def marks_of(sizes: DataFrame) -> DataFrame:
     return materialize(join_side(goals, thresholds(sizes, goals), ["source"]), "mix-thresholds")
 
 
-def decide(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """``rows`` (source, size, __hash and any others) with source_size, target and taken."""
+def decide(rows: DataFrame, marks: DataFrame, whole: bool = False) -> DataFrame:
+    """``rows`` (source, size, __hash and any others) with source_size, target and taken; ``whole``: rows on a boundary are taken or left, whichever is nearer."""
     joined = join_side(rows, marks, ["source"])
     b = [bucket(i) for i in range(LEVELS)]
     e = [F.col(f"b{i}") for i in range(LEVELS)]
     below = (b[0] < e[0]) | ((b[0] == e[0]) & ((b[1] < e[1]) | ((b[1] == e[1]) & (b[2] < e[2]))))
     at = (b[0] == e[0]) & (b[1] == e[1]) & (b[2] == e[2])
-    more = F.when(below, F.col("size")).when(at, F.floor(F.col("size") * (F.col("fraction") + 1e-9))).otherwise(0)
+    part = F.when(F.col("fraction") >= 0.5, F.col("size")).otherwise(0) if whole else F.floor(F.col("size") * (F.col("fraction") + 1e-9))
+    more = F.when(below, F.col("size")).when(at, part).otherwise(0)
     # a missing edge means that the budget ended on a bucket's border
     more = F.when(e[0].isNull(), 0).otherwise(F.coalesce(more, F.lit(0)))
     taken = F.col("copies") * F.col("size") + more
@@ -138,46 +139,30 @@ def decide(rows: DataFrame, marks: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame) -> DataFrame:
     """Rows of ``sizes`` (source, size, __hash and any others) with source_size, target and taken.
 
-    Null sources are one source, after all others. Rows of no words take none. Rows with equal ids share
-    a hash, so they're taken alike. An empty table gives an empty result.
+    Null sources are one source, after all others. Rows of no words take none. Rows with equal ids and texts
+    share a hash, so they're taken alike. An empty table gives an empty result.
     """
     return decide(sizes, marks_of(sizes))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each whole copy, and for words taken beyond, one that ends after them.
+    """``docs`` as the mix takes them, a row for each whole copy: a source misses its target by half its boundary document at most.
 
-    ``n_chars`` follows the text where there is one. Rows of which nothing is taken go. Texts aren't shuffled.
+    Texts are neither cut nor shuffled. Rows of which nothing is taken go: those without words (null and
+    empty texts) among them. Null sources are one source; null ids and repeated rows are mixed like others,
+    and rows that repeat an id and a text are taken alike; an empty table gives an empty result.
     """
     marks = marks_of(sized(docs))
-    rows = docs.select(
-        F.struct(*docs.columns).alias("__row"), "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("__hash")
-    )
-    chosen = decide(rows, marks).where("taken > 0").select("__row", "size", "taken")
-    words = F.expr("array_repeat(size, int(taken div size))")
-    words = F.when(F.expr("taken % size > 0"), F.concat(words, F.array(F.expr("taken % size")))).otherwise(words)
-    copies = chosen.withColumn("__words", F.explode(words))
-    # a word's end is where the text is cut
-    start = F.array_join(F.slice(F.split("__row.text", WORD_END, (F.col("__words") + 1).cast("int")), 1, F.col("__words").cast("int")), "")
-    text = F.when(F.col("__words") == F.col("size"), F.col("__row.text")).otherwise(start)
-    texts = copies.select("__row", "size", "__words", text.alias("__text"))
-
-    def column(name: str) -> Column:
-        kept = F.col("__row").getField(name)
-        if name == "text":
-            return F.col("__text").alias(name)
-        if name == "n_chars":
-            whole = F.col("__words") == F.col("size")
-            return F.when(whole, kept).otherwise(F.length("__text").cast(docs.schema[name].dataType)).alias(name)
-        return kept.alias(name)
-
-    return texts.select(*(column(c) for c in docs.columns))
+    hashed = row_hash(F.col("doc_id"), F.col("text")).alias("__hash")
+    rows = docs.select(whole_row(docs).alias("__row"), "source", word_count(F.col("text")).alias("size"), hashed)
+    chosen = decide(rows, marks, whole=True).where("taken > 0").select("__row", F.expr("int(taken div size)").alias("__copies"))
+    return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select("__row.*")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """Ids, sources and word counts of whole texts, written once: later passes read no text."""
     return materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("__hash")),
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("__hash")),
         "mix-sizes",
     )
 
@@ -189,7 +174,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 9))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT source, source_size, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
     2.0::DOUBLE * source_size / CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS filled FROM s),

@@ -74,6 +74,26 @@ def test_equal_ids(spark):
         assert abs(50 * r.taken - r.target) <= 50
 
 
+def test_null_ids_of_different_texts_have_hashes_of_their_own(spark):
+    rows = [(None, "a", f"x{i}", 0, "") for i in range(900)] + [(1, "b", f"y{i} z", 0, "") for i in range(300)]
+    out = run(spark, rows)
+    check(out, rows)
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = mixing.mixed(docs)
+    assert taken.columns == docs.columns
+    by = {r.source: r.n for r in taken.groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    goals = {r.source: r.target for r in out}
+    assert abs(by["a"] - goals["a"]) <= 1 and abs(2 * by["b"] - goals["b"]) <= 2
+    assert {r.text for r in taken.collect()} <= {r[2] for r in rows}
+
+
+def test_mixed_drops_what_has_no_words(spark):
+    docs = spark.createDataFrame([(1, "a", None, 3), (2, "a", " ", 3), (3, None, "x y", 3)], "doc_id long, source string, text string, `n.x` int")
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == {(3, None, "x y", 3)}
+    assert mixing.mixed(docs.where("false")).count() == 0
+
+
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, rows_of([("a", 0)]))[0].taken == 0
