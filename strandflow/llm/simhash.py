@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandflow.llm.common import bounded_batches
+from strandflow.llm.common import bounded_batches, whole_row
 from strandflow.llm.graph import components
 from strandflow.session import materialize
 
@@ -163,11 +163,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: that of its smallest id; of repeated rows one."""
+    """``docs`` with one row of each class: that of its smallest id; of repeated rows one.
+
+    Null and empty texts are a class like others. A row without an id stays only where its class has no id;
+    all columns stay as they are; an empty table gives an empty result.
+    """
     fps = prints(docs)
     keep = classes(fps).select(F.col("first.doc_id").alias("__id"), F.col("first.copy").alias("__copy")).distinct()
     keep = materialize(keep, "simhash-keep")
-    marked = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"))
+    marked = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"))
     same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__copy"))
     kept = marked.join(keep, same, "left_semi")
     repeated = fps.groupBy("doc_id", "copy").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"))
