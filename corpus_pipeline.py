@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage's result is written as Parquet in the shared folder and read again by the next.
+Each stage's result is written as Parquet in the shared folder and read again by the next, and removed once
+that one is written. All stages but the last return the columns of ``documents``, whatever others it has.
+Null and empty texts have no words, so the first stage drops them; null ids, repeated rows, ties and very
+long texts are as each operator states; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -8,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm import mixing, packing, quality, secrets, simhash
-from strandflow.session import materialize, ship, table
+from strandflow.session import discard, materialize, ship, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the fixed rules, or whose score passes their stratum's proven cutoff, go."""
+    """Documents that fail the fixed rules, or whose score passes their stratum's proven cutoff, go; without labels only the former."""
     ship(spark)
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
@@ -30,13 +33,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
+    """Documents as often as their source's target takes them, whole; null sources are one source."""
     ship(spark)
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null or empty text has its end token alone."""
     ship(spark)
     return packing.pack(docs)
 
@@ -55,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

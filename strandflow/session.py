@@ -39,27 +39,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it's unset a local session gets one of its own; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "strandflow-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "strandflow-shared")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage without pinning blocks to one executor: the files survive lost executors.
-    They are removed when the driver's JVM exits.
+    They are removed by ``discard``, or when the driver's JVM exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _hadoop(spark, path)
+    files.deleteOnExit(target)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._strandflow_path = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of frames that ``materialize`` returned and that nothing will read again; others are left alone."""
+    for df in frames:
+        path = getattr(df, "_strandflow_path", None)
+        if path:
+            target, files = _hadoop(df.sparkSession, path)
+            files.delete(target, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 _SHIPPED: set[str] = set()
