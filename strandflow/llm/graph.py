@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.session import materialize
+from strandflow.session import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars alternate until the edges no longer change: each round is two grouped minima and
     a join, and edges become stars in a logarithmic number of rounds. Each round is written to the shared
-    folder. Nothing is collected but a count and a sum.
+    folder, and the one before removed. Nothing is collected but a count and a sum.
     """
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = materialize(pairs, "links")
@@ -23,11 +23,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u != v").distinct(), "links")
+        before, large = pairs, materialize(large.where("u != v").distinct(), "links")
         # small star: each node sends its smaller neighbours, and itself, to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
         pairs = materialize(small.distinct(), "links")
+        discard(before, large)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm.common import bound
-from strandflow.session import materialize
+from strandflow.session import discard, materialize
 
 #: The setting that holds the key of ``op3_pii_surrogates``.
 KEY_SETTING = "spark.strandflow.pii.key"
@@ -321,6 +321,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         taken = taken.union(kept.select("kind", "surrogate"))
         pending = drawn.join(kept.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", (F.col("attempt") + 1).alias("attempt"))
         pending = materialize(pending, "pii-pending")
+        discard(drawn)
         if pending.isEmpty():
             out = done[0]
             for d in done[1:]:
