@@ -21,21 +21,22 @@ def lacing(size: Column) -> Column:
     return F.concat(F.array_repeat(F.lit(255).cast("long"), F.floor(size / 255).cast("int")), F.array(size % 255))
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, width: int = 4096) -> DataFrame:
+def prefix_sum(df: DataFrame, key: str, value: str, width: int = 4096, levels: int = 3) -> DataFrame:
     """``before``: sum of ``value`` over all rows of smaller ``key``, by sums of key ranges first.
 
-    Ranges of ``width`` keys are summed apart; only their sums, a row each, are run over in one order.
+    Ranges of ``width`` keys are summed apart, ranges of their sums likewise, and only the sums of the last of
+    ``levels`` are run over in one order: a row for each ``width ** levels`` keys.
     """
-    block = F.floor(F.col(key) / width)
-    keyed = df.withColumn("__block", block)
-    sums = keyed.groupBy("__block").agg(F.sum(value).alias("__n"))
-    offsets = sums.select(
-        "__block", F.coalesce(F.sum("__n").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset")
-    )
-    inside = F.coalesce(F.sum(value).over(W.partitionBy("__block").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return keyed.withColumn("__inside", inside).join(offsets, "__block").withColumn("before", F.col("__offset") + F.col("__inside")).drop(
-        "__block", "__inside", "__offset"
-    )
+    before = W.unboundedPreceding, -1
+    if not levels:
+        return df.withColumn("before", F.coalesce(F.sum(value).over(W.orderBy(key).rowsBetween(*before)), F.lit(0)))
+    block = f"__block{levels}"
+    keyed = df.withColumn(block, F.floor(F.col(key) / width))
+    sums = keyed.groupBy(block).agg(F.sum(value).alias(f"__n{levels}"))
+    offsets = prefix_sum(sums, block, f"__n{levels}", width, levels - 1).select(block, F.col("before").alias("__offset"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(block).orderBy(key).rowsBetween(*before)), F.lit(0))
+    placed = keyed.withColumn("__inside", inside).join(offsets, block)
+    return placed.withColumn("before", F.col("__offset") + F.col("__inside")).drop(block, "__inside", "__offset")
 
 
 def merge_ranges(df: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:

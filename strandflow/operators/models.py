@@ -169,12 +169,11 @@ def mixed_costs(bits: np.ndarray) -> tuple[float, float, float, float]:
     return tuple(total)
 
 
-def lz_parse(data: bytes, block: int = 1 << 14, distance: int = 1 << 16, least: int = 4, most: int = 259) -> list[tuple[int, int, int]]:
-    """Greedy parse: (place, length, distance), distance 0 for a literal. Matches end with the block."""
+def lz_parse(data: bytes, distance: int = 1 << 16, least: int = 4, most: int = 259) -> list[tuple[int, int, int]]:
+    """Greedy parse: (place, length, distance), distance 0 for a literal. A match is with the last place of the same ``least`` bytes."""
     last: dict[bytes, int] = {}
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at - at % block + block)
+    out, at, end = [], 0, len(data)
+    while at < end:
         size = back = 0
         if end - at >= least:
             prev = last.get(data[at : at + least])
@@ -238,8 +237,16 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], schema: str, f
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+#: Rows of an Arrow batch where each may be a file.
+FILES_A_BATCH = 256
+
+
 def map_rows(df: DataFrame, schema: str, one: Callable[[tuple], tuple]) -> DataFrame:
-    """A row for each row, a batch at a time."""
+    """A row for each row: a file, a text or a key with its grammar or model. Batches are kept small."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(setting))
+    if now <= 0 or now > FILES_A_BATCH:
+        df.sparkSession.conf.set(setting, str(FILES_A_BATCH))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -197,19 +197,28 @@ SELECT doc_id, place, (coalesce(before, 0) // 100000)::BIGINT AS wave FROM j
 
 @query("job_schedule", "SRT01 EXE01 EXE02", SCHEDULE)
 def job_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All jobs, largest first, in waves by the work before them: sizes are summed first, then jobs of a size ranked."""
-    jobs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    sizes = jobs.groupBy("n_chars").agg(F.count("*").alias("n"))
-    larger = W.orderBy(F.desc("n_chars")).rowsBetween(W.unboundedPreceding, -1)  # a row for each size
+    """All jobs, largest first, in waves by the work before them: sizes are summed first, then jobs of a size ranked.
+
+    Ranks come from counts of ranges of ids within a size, so that a common size spreads over tasks. Jobs
+    of unknown size come last, without a wave.
+    """
+    jobs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").withColumn("block", F.floor(F.col("doc_id") / 4096))
+    counts = jobs.groupBy("n_chars", "block").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("n_chars").agg(F.sum("n").alias("n"))
+    larger = W.orderBy(F.desc_nulls_last("n_chars")).rowsBetween(W.unboundedPreceding, -1)  # a row for each size
     ahead = sizes.select(
-        "n_chars",
+        F.col("n_chars").alias("size"),
         F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("jobs_ahead"),
         F.coalesce(F.sum(F.col("n") * F.col("n_chars")).over(larger), F.lit(0)).alias("work_ahead"),
     )
-    rank = F.row_number().over(W.partitionBy("n_chars").orderBy("doc_id"))
-    placed = jobs.withColumn("rank", rank).join(ahead, "n_chars")
-    before = F.col("work_ahead") + (F.col("rank") - 1) * F.col("n_chars")
-    return placed.select("doc_id", (F.col("jobs_ahead") + F.col("rank")).alias("place"), F.floor(before / 100000).alias("wave"))
+    earlier = W.partitionBy("n_chars").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = counts.select(F.col("n_chars").alias("size"), F.col("block").alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("same_ahead"))
+    blocks = blocks.alias("b").join(ahead.alias("a"), F.col("b.size").eqNullSafe(F.col("a.size"))).select("b.*", "jobs_ahead", "work_ahead")
+    inside = F.row_number().over(W.partitionBy("n_chars", "block").orderBy("doc_id"))
+    placed = jobs.withColumn("inside", inside).join(blocks, F.col("n_chars").eqNullSafe(F.col("size")) & F.col("block").eqNullSafe(F.col("of")))
+    rank = F.col("same_ahead") + F.col("inside")
+    before = F.col("work_ahead") + (rank - 1) * F.col("n_chars")
+    return placed.select("doc_id", (F.col("jobs_ahead") + rank).alias("place"), F.floor(before / 100000).alias("wave"))
 
 
 STATUS = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from strandflow.functions import checksums
 from strandflow.functions.bits import LsbWriter
 from strandflow.operators import models
 from strandflow.registry import query
-from strandflow.session import table
+from strandflow.session import shared_dir, table
 from strandflow.sources import archive, files, mp3, ogg, opus, tracker, vorbis_audio
 
 
@@ -259,16 +260,34 @@ def link_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SNIFF = """
-SELECT s_suppkey::VARCHAR AS path, CASE s_suppkey % 6 WHEN 0 THEN 'opus' WHEN 1 THEN 'mod' WHEN 2 THEN 'it' WHEN 3 THEN 'xm' WHEN 4 THEN 'mp3' END AS fmt FROM supplier
+SELECT s_suppkey::VARCHAR AS path, CASE s_suppkey % 8 WHEN 0 THEN 'opus' WHEN 1 THEN 'mod' WHEN 2 THEN 'it' WHEN 3 THEN 'xm' WHEN 4 THEN 'mp3'
+  WHEN 6 THEN 'mod' WHEN 7 THEN 's3m' END AS fmt FROM supplier
 """
 
 
-@query("sniff_files", "SRC01 SRC02 SRC06 SRC07 SRC08 SRC09 SRC10 SRC12", SNIFF)
+def _old_mod(key: int) -> bytes:
+    """A module of 15 samples, which has no tag."""
+    rng = random.Random(key)
+    records = [b"".ljust(22, b"\0") + (4 + key % 9).to_bytes(2, "big") + bytes([0, 64, 0, 0, 0, 1])] * 15
+    head = f"old {key}".encode().ljust(20, b"\0") + b"".join(records) + bytes([1, 120]) + bytes(128)
+    return head + rng.randbytes(1024) + rng.randbytes(15 * 2 * (4 + key % 9))
+
+
+def _s3m(key: int) -> bytes:
+    head = bytearray(96)
+    head[0x2C:0x30], head[0x20] = b"SCRM", 2
+    return bytes(head) + bytes(2 + key % 5)
+
+
+@query("sniff_files", "SRC01 SRC06 SRC07 SRC08 SRC09 SRC10 SRC12 FLT12", SNIFF)
 def sniff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats by the first bytes of files of six kinds."""
-    kinds = (_opus, _mod, _it, _xm, lambda k: _mp3(k - k % 7), lambda k: b"nothing that is known")
-    made = built(spark, sf_dir, lambda key: kinds[key % 6](key))
-    return made.select("path", files.sniff(files.peek(F.col("content"), 2048), F.col("length")).alias("fmt"))
+    """Formats of files of eight kinds, written to the shared folder and read as binary files; MP3s have junk ahead."""
+    kinds = (_opus, _mod, _it, _xm, _mp3, lambda k: b"nothing that is known", _old_mod, _s3m)
+    made = built(spark, sf_dir, lambda key: kinds[key % 8](key))
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    files.write_files(made, folder)
+    name = F.regexp_extract("path", r"([0-9]+)\.bin$", 1)
+    return files.sniffed(files.read_files(spark, folder, "*.bin")).select(name.alias("path"), "fmt")
 
 
 @query("mp3_transpose", "SNK08 SNK09 FLT07", "SELECT s_suppkey::VARCHAR AS path, true AS lossless, (6 + s_suppkey % 5) * 36 AS head_bytes FROM supplier")

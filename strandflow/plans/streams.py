@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.registry import query
-from strandflow.session import materialize, table
+from strandflow.session import materialize, shared_dir, table
 from strandflow.sources import ogg
 from strandflow.streaming import stateful
 
@@ -24,10 +26,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.stream_table(spark, f"{sf_dir}/events.parquet*", schema)
 
 
-@query("stateful_links", "STR04 STR03 STR06 STR10", STATEFUL_LINKS)
+@query("stateful_links", "STR04 STR03 STR06", STATEFUL_LINKS)
 def stateful_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links by marker, with the count kept as each user's state over the micro-batches."""
-    events = _events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    events = stateful.replay(events, "ts", ["user_id"])
     links = stateful.drain(stateful.marker_links(events, "signup"))
     return links.groupBy("user_id", "link").agg(F.count("*").alias("n"))
 
@@ -48,7 +51,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_pages", "STR01 STR05 STR06 SRC13", "SELECT doc_id::VARCHAR AS path, true AS covered, strlen(coalesce(text, ''))::BIGINT AS body FROM documents")
 def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as paged streams that arrive in blocks of 4 KiB with junk ahead: pages and gaps cover all bytes."""
+    """Texts as paged streams that arrive in blocks of 4 KiB, out of order, with junk ahead: pages and gaps cover all bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     names = ["path", "block", "data", "last"]
 
@@ -61,9 +64,12 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                     rows.append((str(doc_id), at // 4096, raw[at : at + 4096], at + 4096 >= len(raw)))
             yield pd.DataFrame(rows, columns=names)
 
-    arrived = materialize(docs.mapInPandas(blocks, "path string, block int, data binary, last boolean"), "blocks")
-    path = arrived.inputFiles()[0].rsplit("/", 1)[0]
-    stream = stateful.stream_table(spark, path, arrived.schema, files_per_trigger=1000)
+    cut = materialize(docs.mapInPandas(blocks, "path string, block int, data binary, last boolean"), "blocks")
+    # odd blocks come first, so that they wait, in batches of their own
+    base = f"{shared_dir(spark)}/arrived-{uuid.uuid4().hex}"
+    for part in (1, 0):
+        cut.where(F.col("block") % 2 == part).write.parquet(f"{base}/part-{1 - part}")
+    stream = spark.readStream.schema(cut.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/*")
     found = stateful.drain(stateful.page_stream(stream))
     page = F.col("kind") == "page"
     segments = F.floor((F.col("body")) / 255) + 1

@@ -98,8 +98,9 @@ def _records(data: bytes, n: int) -> list[tuple[str, int, int, int, int, int]]:
     return out
 
 
-def mod_kind(data: bytes) -> int:
-    """31 or 15 samples, 0 if it's no module."""
+def mod_kind(data: bytes, size: int | None = None) -> int:
+    """31 or 15 samples, 0 if it's no module. ``data``: the file's first bytes, ``size``: that of all."""
+    size = len(data) if size is None else size
     if len(data) >= 1084 and tag_channels(data[1080:1084]):
         return 31
     if len(data) < 600:
@@ -107,7 +108,7 @@ def mod_kind(data: bytes) -> int:
     orders, records = data[472:600], _records(data, 15)
     fine = all(r[2] <= 15 and r[3] <= 64 for r in records) and any(r[1] for r in records)
     plausible = 1 <= data[470] <= 128 and max(orders) <= 63 and fine
-    return 15 if plausible and len(data) >= 600 + 1024 * (max(orders) + 1) else 0
+    return 15 if plausible and size >= 600 + 1024 * (max(orders) + 1) else 0
 
 
 def mod_layout(data: bytes) -> Mod | None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import Any
 
 import pandas as pd
@@ -23,20 +25,47 @@ def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def replay(table: DataFrame, order: str, keys: list[str], parts: int = 4) -> DataFrame:
+    """``table`` as a stream whose micro-batches follow one another in ``order``, whatever files the table has.
+
+    Ranges of the order are written one after the other into the shared folder, the rows of a key in one file
+    of a range; a source takes files by their times, so a key's rows arrive in order over the batches. Rows
+    without an order come with the first range.
+    """
+    spark = table.sparkSession
+    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = table.select(at.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)
+    cuts = [float("-inf"), *sorted(cuts), float("inf")]
+    for i, (low, high) in enumerate(pairwise(cuts)):
+        mine = (at >= low) & (at < high)
+        if i == 0:
+            mine = mine | at.isNull()
+        table.where(mine).repartition(*keys).write.parquet(f"{base}/part-{i:05d}")
+        if i + 1 < len(cuts) - 1:
+            time.sleep(0.01)  # file times tell milliseconds apart
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/*")
+
+
 def marker_links(events: DataFrame, marker: str) -> DataFrame:
     """Each event with its user's number of markers so far. The count is the user's state across micro-batches.
 
-    Events of a user must come in order over the batches; within a batch they are sorted.
+    Within a batch a user's events are sorted; over the batches they must come in order (``replay``). One that
+    comes after a later one has been counted is late: it has no link (null) and doesn't count.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        link = state.get[0] if state.exists else 0
+        link, last_ts, last_id = state.get if state.exists else (0, None, -1)
         batch = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        links = link + (batch["event_type"] == marker).cumsum()
-        state.update((int(links.iloc[-1]),))
+        at = pd.to_datetime(batch["ts"]).astype("datetime64[us]").astype("int64")
+        late = (at < last_ts) | ((at == last_ts) & (batch["event_id"] <= last_id)) if last_ts is not None else pd.Series(False, index=batch.index)
+        links = (link + ((batch["event_type"] == marker) & ~late).cumsum()).astype("Int64").where(~late)
+        if not late.all():
+            on_time = batch[~late]
+            state.update((int(links.dropna().iloc[-1]), int(at[~late].iloc[-1]), int(on_time["event_id"].iloc[-1])))
         yield pd.DataFrame({"user_id": batch["user_id"], "event_id": batch["event_id"], "link": links})
 
-    return events.groupBy("user_id").applyInPandasWithState(run, LINKS, "link long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(run, LINKS, "link long, ts long, event_id long", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -46,16 +75,25 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 
 def page_stream(blocks: DataFrame, keep: int = 1 << 17) -> DataFrame:
-    """Pages and gaps of files that arrive in blocks (path, block, data, last).
+    """Pages and gaps of files that arrive in blocks (path, block: from 0, data, last).
 
-    What may be the start of a page is carried to the next block as state; garbage between pages is emitted
+    Blocks may come in any order, over any micro-batches: those ahead of the next wait as state until it comes.
+    What may be the start of a page is carried to the next block as well; garbage between pages is emitted
     as gaps, so that pages and gaps cover all bytes. ``keep`` bounds what is carried: no page is longer.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, base = state.get if state.exists else (b"", 0)
-        batch = pd.concat(list(parts)).sort_values("block")
-        data, last = bytes(tail) + b"".join(map(bytes, batch["data"])), bool(batch["last"].any())
+        tail, base, following, end, numbers, waiting = state.get if state.exists else (b"", 0, 0, -1, [], [])
+        held = dict(zip(numbers, map(bytes, waiting), strict=True))
+        batch = pd.concat(list(parts))
+        for number, data, last in zip(batch["block"], batch["data"], batch["last"], strict=True):
+            held[int(number)] = bytes(data)
+            end = int(number) if last else end
+        ready = []
+        while following in held:
+            ready.append(held.pop(following))
+            following += 1
+        data, last = bytes(tail) + b"".join(ready), 0 <= end < following
         pages, gaps = ogg.parse(data)
         found = sorted([(p.at, p.size, p) for p in pages] + [(src, n, None) for _, src, n in gaps], key=lambda x: x[0])
         cut = len(data)
@@ -67,10 +105,11 @@ def page_stream(blocks: DataFrame, keep: int = 1 << 17) -> DataFrame:
             if cut > start:
                 found.append((start, cut - start, None))
         rows = [(key[0], base + at, "page" if p else "gap", n, p and p.serial, p and p.granule) for at, n, p in found]
-        state.update((data[cut:], base + cut))
+        state.update((data[cut:], base + cut, following, end, list(held), list(held.values())))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")])
 
-    return blocks.groupBy("path").applyInPandasWithState(run, PAGES, "tail binary, base long", "append", GroupStateTimeout.NoTimeout)
+    held = "tail binary, base long, following int, end int, numbers array<int>, waiting array<binary>"
+    return blocks.groupBy("path").applyInPandasWithState(run, PAGES, held, "append", GroupStateTimeout.NoTimeout)
 
 
 class Progress(StreamingQueryListener):
@@ -97,15 +136,21 @@ class Progress(StreamingQueryListener):
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is now, in micro-batches, into the shared folder, and reads the result.
 
-    Batches are written by their number, so that one that is run again replaces itself.
+    Batches are written by their number, so that one that is run again replaces itself. In ``complete`` mode
+    each batch has the whole result, and the last one's is read.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        done.append(number)
 
     writer: Any = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put)
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    found = f"{base}/out/batch={max(done)}" if mode == "complete" else f"{base}/out"
+    return spark.read.schema(stream.schema).parquet(found).select(*stream.columns)

@@ -62,10 +62,19 @@ def test_mixture_beats_its_parts_where_neither_is_enough():
 @given(st.lists(st.sampled_from([b"abcd", b"xyz", b"q", b"abcdabcd"]), max_size=200))
 def test_lz(parts):
     data = b"".join(parts)
-    tokens = models.lz_parse(data, block=64)
+    tokens = models.lz_parse(data)
     assert models.lz_restore(data, tokens) == data
-    assert sum(n for _, n, _ in tokens) == len(data)
-    assert all(4 <= n <= 259 and at // 64 == (at + n - 1) // 64 for at, n, back in tokens if back)
+    at = 0
+    for place, size, back in tokens:  # against a search from every earlier place
+        assert place == at
+        prev = data.rfind(data[at : at + 4], 0, at + 3) if len(data) - at >= 4 else -1
+        want = 0
+        if prev >= 0:
+            while want < 259 and at + want < len(data) and data[prev + want] == data[at + want]:
+                want += 1
+        assert (size, back) == ((want, at - prev) if want else (1, 0))
+        at += size
+    assert at == len(data)
 
 
 def test_predictors_learn():

@@ -85,7 +85,24 @@ def test_sniff(spark):
     mod[1080:1084] = b"6CHN"
     vorbis = ogg.build_stream([b"\x01vorbis" + b"\0" * 23, b"x"], 1)
     opus = ogg.build_stream([b"OpusHead" + b"\0" * 11, b"x"], 1)
-    rows = {"vorbis": vorbis, "opus": opus, "it": bytes(it), "s3m": bytes(s3m), "xm": b"Extended Module: x", "mod": bytes(mod), "mp3": b"\xff\xfb\x90\0", "id3": b"ID3\x04", "other": b"OggS", "none": b""}
+    rows = {"vorbis": vorbis, "opus": opus, "it": bytes(it), "s3m": bytes(s3m), "xm": b"Extended Module: x", "mod": bytes(mod), "sync": b"\xff\xfb\x90\0", "id3": b"ID3\x04", "other": b"OggS", "none": b""}
     df = spark.createDataFrame([(k, len(v), v) for k, v in rows.items()], files.SCHEMA)
     out = {r.path: r.fmt for r in df.select("path", files.sniff(files.peek(F.col("content"), 2048), F.col("length")).alias("fmt")).collect()}
-    assert out == {k: {"id3": "mp3", "other": None, "none": None}.get(k, k) for k in rows}
+    assert out == {k: {"id3": "mp3", "other": None, "none": None, "sync": None}.get(k, k) for k in rows}
+
+
+def test_sniff_by_grammar(spark):
+    frame = b"\xff\xfb\x90\x40" + bytes(413)
+    old = bytearray(b"x".ljust(20, b"\0") + (b"".ljust(22, b"\0") + bytes([0, 2, 0, 64, 0, 0, 0, 1])) * 15 + bytes([1, 120]) + bytes(128) + bytes(1024 + 60))
+    tags = {t: bytes(1080) + t.encode() for t in ("FEST", "LARD", "EXO4", "M.K.", "12CN", "TDZ3")}
+    rows = {"run": b"junk" * 20 + frame * 8, "sync": b"\xff\xfb\x90\0" + b"x" * 3000, "old": bytes(old), "empty": b"", "null": None, **tags}
+    df = spark.createDataFrame([(k, len(v or b""), v) for k, v in rows.items()], files.SCHEMA)
+    out = {r.path: r.fmt for r in files.sniffed(df).collect()}
+    assert out == {"run": "mp3", "sync": None, "old": "mod", "empty": None, "null": None, "FEST": "mod", "LARD": "mod", "EXO4": None, "M.K.": "mod", "12CN": "mod", "TDZ3": "mod"}
+
+
+def test_files_written_and_read(spark, tmp_path):
+    rows = [(str(i), 3 * i, b"abc" * i) for i in range(1, 20)]  # Spark passes over empty files
+    files.write_files(spark.createDataFrame(rows, files.SCHEMA).repartition(4), f"file://{tmp_path}/out")
+    got = files.read_files(spark, f"file://{tmp_path}/out", "*.bin").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.length, bytes(r.content)) for r in got) == sorted((f"{p}.bin", n, c) for p, n, c in rows)

@@ -1,6 +1,7 @@
 import random
 import time
 
+from strandflow.plans import streams
 from strandflow.sources import ogg
 from strandflow.streaming import stateful
 
@@ -39,13 +40,35 @@ def test_links_keep_state_over_batches(spark, tmp_path):
             assert out[(u, i)] == n
 
 
+def test_late_events_are_kept_aside(spark, tmp_path):
+    schema = "user_id long, event_id long, ts string, event_type string"
+    parts = [[(1, 5, "2024-01-05", "signup"), (1, 6, "2024-01-06", "view")], [(1, 2, "2024-01-02", "signup"), (1, 7, "2024-01-07", "signup")]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+        time.sleep(0.05)
+    stream = stateful.stream_table(spark, str(tmp_path / "ev"), schema)
+    out = {r.event_id: r.link for r in stateful.drain(stateful.marker_links(stream, "signup")).collect()}
+    assert out == {5: 1, 6: 1, 2: None, 7: 2}
+
+
+def test_tables_of_several_files(spark, tmp_path):
+    """The streamed queries don't depend on how a table is cut into files, nor on their order."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    for run in (streams.stateful_links, streams.stream_windows):
+        one = sorted(map(tuple, run(spark, "/root/testdata/sf0.001").collect()))
+        several = sorted(map(tuple, run(spark, str(tmp_path)).collect()))
+        assert one == several
+    assert sum(r[-1] for r in several) == events.count()
+
+
 def test_progress(spark, tmp_path):
     said = []
     listener = stateful.Progress(said.append)
     spark.streams.addListener(listener)
     try:
         schema = "user_id long, event_id long, ts string, event_type string"
-        spark.createDataFrame([(1, 1, "a", "signup"), (1, 2, "b", "view")], schema).coalesce(1).write.parquet(str(tmp_path / "ev"))
+        spark.createDataFrame([(1, 1, "2024-01-01", "signup"), (1, 2, "2024-01-02", "view")], schema).coalesce(1).write.parquet(str(tmp_path / "ev"))
         stateful.drain(stateful.marker_links(stateful.stream_table(spark, str(tmp_path / "ev"), schema), "signup"))
         for _ in range(100):
             if said and said[-1].startswith("ended"):
