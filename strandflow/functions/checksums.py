@@ -124,6 +124,12 @@ def crc32c_udf(data: pd.Series) -> pd.Series:
     return pd.Series(crc_rows(data.map(bytes)).astype(np.int64))
 
 
+@F.pandas_udf(T.LongType())
+def combine_udf(first: pd.Series, second: pd.Series, size: pd.Series) -> pd.Series:
+    """CRC-32C of a concatenation from those of its two parts and the second's length."""
+    return pd.Series([combine_crc32c(int(a), int(b), int(n)) for a, b, n in zip(first, second, size, strict=True)], dtype="int64")
+
+
 @F.pandas_udf(T.LongType())
 def ogg_crc_udf(data: pd.Series) -> pd.Series:
     return pd.Series(crc_rows(data.map(bytes), "ogg").astype(np.int64))

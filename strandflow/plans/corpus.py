@@ -136,7 +136,7 @@ SELECT vec_id, min_by(near_id, dist) AS near_id, round(min(dist), 4) AS dist FRO
 """
 
 
-@query("nearest_l1", "JON05 STR10", NEAREST)
+@query("nearest_l1", "JON05", NEAREST)
 def nearest_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest by L1 of the same label's vectors among the 63 ids before: a window of the cache's size."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
@@ -176,7 +176,7 @@ SELECT item_id, base64(encode(text)) AS b64, text = decode(from_base64(base64(en
 """
 
 
-@query("base64_rt", "FN19 FLT09 FLT10", BASE64)
+@query("base64_rt", "FN19 FLT10", BASE64)
 def base64_rt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base64 and back, and whether it is canonical."""
     b64 = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -61,56 +62,64 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ADAPTIVE_BITS = """
-WITH b AS (SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS v,
-    sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS o, count(*) OVER w AS n
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT user_id, count(*) AS symbols, sum(v)::BIGINT AS ones,
-  round(sum(-log2((CASE WHEN v = 1 THEN 1 + coalesce(o, 0) ELSE 1 + n - coalesce(o, 0) END)::DOUBLE / (n + 2))), 6) AS bits
-FROM b WHERE n < 121 GROUP BY user_id
+WITH RECURSIVE v AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, i, v, 0.5::DOUBLE AS p FROM v WHERE i = 1
+  UNION ALL SELECT s.user_id, v.i, v.v, s.p + (s.v - s.p) / (least(s.i - 1, 120) + 3) FROM s JOIN v ON v.user_id = s.user_id AND v.i = s.i + 1)
+SELECT user_id, count(*) AS symbols, sum(v)::BIGINT AS ones, round(sum(-log2(CASE WHEN v = 1 THEN p ELSE 1 - p END)), 6) AS bits FROM s GROUP BY user_id
 """
 
 
 @query("adaptive_bits", "WIN07 WIN10 MDL01", ADAPTIVE_BITS)
 def adaptive_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost of each user's purchase flags under the adaptive bit, which after ``COUNT_LIMIT`` rows forgets at a fixed rate.
-
-    The SQL has the rows before that limit only: it holds for users of no more rows.
-    """
+    """Cost of each user's purchase flags under the adaptive bit, which after ``LIMIT`` rows forgets at a fixed rate."""
     return bit_costs(events(spark, sf_dir))
 
 
-def bit_costs(df: DataFrame) -> DataFrame:
-    """(user_id, symbols, ones, bits) by an ordered fold, in which a task holds one user's model and sums at a time."""
+def ordered_fold(df: DataFrame, value: Column, start: Callable[[], Any], step: Callable[[Any, Any], None], done: Callable[[Any], tuple], result: str) -> DataFrame:
+    """(user_id, n, and the columns of ``result``) by a fold over each user's ordered values.
+
+    Users are dealt to tasks and sorted there; a task reads its rows as they come and holds one user's state.
+    """
     kind = df.schema["user_id"].dataType
+    schema = f"user_id {kind.simpleString()}, n long, {result}"
 
     def fold(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, state, symbols, ones, bits = None, None, 0, 0, 0.0
+        user, state, n, key_type = None, None, 0, None
         for batch in it:
-            done = []
-            for key, bit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out, key_type = [], batch.schema.field(0).type
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if state is None or key != user:
                     if state is not None:
-                        done.append((user, symbols, ones, bits))
-                    user, state, symbols, ones, bits = key, AdaptiveBit(), 0, 0, 0.0
-                bits -= math.log2(state.p if bit else 1 - state.p)
-                state.update(bit)
-                symbols, ones = symbols + 1, ones + bit
-            yield rows(batch.schema.field(0).type, done)
-            last = batch.schema.field(0).type
+                        out.append((user, n, *done(state)))
+                    user, state, n = key, start(), 0
+                step(state, x)
+                n += 1
+            yield rows(key_type, out)
         if state is not None:
-            yield rows(last, [(user, symbols, ones, bits)])
+            yield rows(key_type, [(user, n, *done(state))])
 
-    def rows(key: pa.DataType, done: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*done, strict=True)) or [()] * 4
-        kinds = [key, pa.int64(), pa.int64(), pa.float64()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["user_id", "symbols", "ones", "bits"]
-        )
+    def rows(key: pa.DataType, out: list[tuple]) -> pa.RecordBatch:
+        kinds = [key, pa.int64(), *(pa.float64() if c.split()[1] == "double" else pa.int64() for c in result.split(", "))]
+        names = [c.split()[0] for c in schema.split(", ")]
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    ordered = df.select(*USER, *ORDER, value.alias("v")).repartition(*USER).sortWithinPartitions(*USER, *ORDER)
+    return ordered.select(*USER, "v").mapInArrow(fold, schema)
+
+
+def bit_costs(df: DataFrame) -> DataFrame:
+    """(user_id, symbols, ones, bits) under an adaptive bit for each user."""
+
+    def step(state: list, bit: int) -> None:
+        model = state[0]
+        state[2] -= math.log2(model.p if bit else 1 - model.p)
+        state[1] += bit
+        model.update(bit)
 
     flag = F.coalesce((F.col("event_type") == "purchase").cast("int"), F.lit(0))
-    ordered = df.select(*USER, *ORDER, flag.alias("v")).repartition(*USER).sortWithinPartitions(*USER, *ORDER)
-    folded = ordered.select(*USER, "v").mapInArrow(fold, f"user_id {kind.simpleString()}, symbols long, ones long, bits double")
-    return folded.withColumn("bits", F.round("bits", 6))
+    out = ordered_fold(df, flag, lambda: [AdaptiveBit(), 0, 0.0], step, lambda s: (s[1], s[2]), "ones long, bits double")
+    return out.select("user_id", F.col("n").alias("symbols"), "ones", F.round("bits", 6).alias("bits"))
 
 
 DELTA_FIELD = """
@@ -276,18 +285,27 @@ def history_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATES = (4, 16, 128)
 
 
-@query("ewma_tracker", "WIN08 WIN11")
+EWMA = (
+    "WITH RECURSIVE v AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), "
+    "s AS (SELECT user_id, i, " + ", ".join(f"v / {r} AS r{r}" for r in RATES) + " FROM v WHERE i = 1 UNION ALL SELECT s.user_id, v.i, "
+    + ", ".join(f"r{r} + (v.v - r{r}) / {r}" for r in RATES)
+    + " FROM s JOIN v ON v.user_id = s.user_id AND v.i = s.i + 1) SELECT user_id, max(i) AS n, "
+    + ", ".join(f"round(max_by(r{r}, i), 6) AS rate_{r}" for r in RATES)
+    + " FROM s GROUP BY user_id"
+)
+
+
+@query("ewma_tracker", "WIN08 WIN11", EWMA)
 def ewma_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trackers of a user's values at three rates, folded over the user's ordered values on the JVM."""
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    start = F.struct(*(F.lit(0.0).alias(f"r{r}") for r in RATES))
+    """Trackers of a user's values at three rates, folded over the user's ordered values."""
 
-    def step(acc, x):
-        return F.struct(*((acc[f"r{r}"] + (x["value"] - acc[f"r{r}"]) / r).alias(f"r{r}") for r in RATES))
+    def step(state: list, x: float) -> None:
+        for k, r in enumerate(RATES):
+            state[k] += ((x or 0.0) - state[k]) / r
 
-    folded = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), rows.alias("rows"))
-    out = folded.withColumn("t", F.aggregate("rows", start, step))
-    return out.select("user_id", "n", *(F.round(F.col("t")[f"r{r}"], 6).alias(f"rate_{r}") for r in RATES))
+    result = ", ".join(f"rate_{r} double" for r in RATES)
+    out = ordered_fold(events(spark, sf_dir), F.col("value"), lambda: [0.0] * len(RATES), step, tuple, result)
+    return out.select("user_id", "n", *(F.round(f"rate_{r}", 6).alias(f"rate_{r}") for r in RATES))
 
 
 PROFILE = """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandflow.functions import celt, scalars
+from strandflow.functions import bits, celt, scalars
 from strandflow.operators import models, sequence
 from strandflow.registry import query
 from strandflow.session import table
@@ -47,7 +47,26 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("exact_functions", "FN15 FN16 FN17 FN24 FN25 MDL14")
+EXACT = """
+WITH RECURSIVE u AS (  -- vectors of n whole numbers whose magnitudes sum to k, a row of k = 0..6 for each n
+    SELECT 0 AS n, [1, 0, 0, 0, 0, 0, 0]::BIGINT[] AS c
+    UNION ALL SELECT n + 1, [list_sum(list_transform(range(0, k + 1), lambda j: c[k - j + 1] * CASE WHEN j = 0 THEN 1 ELSE 2 END)) for k in range(0, 7)]::BIGINT[] FROM u WHERE n < 7),
+p AS (SELECT p_partkey, p_size, 1 + p_partkey % 7 AS n, 1 + p_size % 6 AS k, p_partkey * 37 % 16384 AS x, p_size - 25 AS v, p_size % 9 AS t FROM part),
+q AS (SELECT *, (4096 + x * x) >> 13 AS y FROM p),
+r AS (SELECT *, (16384 - 626 * y) >> 15 AS z FROM q),
+w AS (SELECT *, (16384 + y * (8277 + z)) >> 15 AS a FROM r),
+l AS (  -- steps of the Laplace density: magnitude m begins at low with size
+    SELECT 1 AS m, 6000 AS low, ((32768 - 32 - 6000) * (16384 - 8000)) >> 15 AS size
+    UNION ALL SELECT m + 1, low + 2 * size + 2, CASE WHEN size > 0 THEN (2 * size * 8000) >> 15 ELSE 0 END FROM l WHERE m < 30)
+SELECT w.p_partkey, u.c[w.k + 1] AS vectors, true AS round_trip, (1 + (32767 - y) + ((16384 + y * (-7651 + a)) >> 15))::INTEGER AS cosine,
+  (CASE WHEN v = 0 THEN 0 WHEN v < 0 THEN l.low ELSE l.low + l.size + 1 END)::INTEGER AS low,
+  (CASE WHEN v = 0 THEN 6000 ELSE greatest(0, least(l.size + 1, 32768 - CASE WHEN v < 0 THEN l.low ELSE l.low + l.size + 1 END)) END)::INTEGER AS width,
+  (CASE WHEN t <= 4 THEN t + 1 ELSE 9 - t END)::INTEGER AS triangle
+FROM w JOIN u ON u.n = w.n LEFT JOIN l ON l.m = abs(v)
+"""
+
+
+@query("exact_functions", "FN15 FN16 FN17", EXACT)
 def exact_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pulse vectors numbered and back, exact cosines, Laplace and triangular intervals, for each part."""
 
@@ -66,6 +85,24 @@ def exact_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.map_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), schema, one)
 
 
+PACKED = """
+SELECT p_partkey, (CASE WHEN p_partkey < 128 THEN 1 WHEN p_partkey < 16384 THEN 2 ELSE 3 END)::INTEGER AS varint_bytes, p_partkey AS value,
+  list_sum(list_transform(range(0, 8), lambda i: ((p_size >> i) & 1) << (7 - i)))::INTEGER AS reversed_size FROM part
+"""
+
+
+@query("packed_numbers", "FN25 SRC34", PACKED)
+def packed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as varints and back, bits reversed."""
+
+    def one(row) -> tuple:
+        raw = bits.put_varint(row.p_partkey)
+        return row.p_partkey, len(raw), bits.get_varint(raw)[0], bits.reverse_bits(row.p_size, 8)
+
+    schema = "p_partkey long, varint_bytes int, value long, reversed_size int"
+    return models.map_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), schema, one)
+
+
 POSTS = """
 WITH p AS (SELECT l_orderkey AS g, l_partkey AS x, min(l_linenumber) AS i FROM lineitem GROUP BY 1, 2)
 SELECT a.g, a.x, a.i, max(b.x) FILTER (WHERE b.x < a.x) AS below, min(b.x) FILTER (WHERE b.x > a.x) AS above,
@@ -129,7 +166,7 @@ SELECT prev, event_type, count(*) AS n, round(sum(bits), 6) AS bits FROM c GROUP
 """
 
 
-@query("context_cost", "JON14 JON15 MDL11 MDL12 MDL16 MDL18 MDL25 MDL26 FN09", CONTEXTS)
+@query("context_cost", "JON15 WIN09", CONTEXTS)
 def context_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of event types in the context of the one before, by context: exact slots, no collisions."""
     order = ["ts", "event_id"]
