@@ -13,7 +13,7 @@ from strandflow.operators import context, models, pool
 from strandflow.plans.media import built
 from strandflow.registry import query
 from strandflow.session import table
-from strandflow.sources import mp3_spectra, ogg, tracker, tracker_code, vorbis
+from strandflow.sources import mp3, mp3_spectra, ogg, tracker, tracker_code, vorbis
 
 SLOTS = """
 WITH p AS (SELECT user_id, event_type, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '-') AS prev FROM events)
@@ -289,3 +289,72 @@ def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("path").agg(
         F.sum("samples").alias("samples"), F.sum("audio").alias("packets"), F.every(F.col("samples") >= 0).alias("in_order")
     )
+
+
+LSF = """
+WITH c AS (SELECT DISTINCT p_partkey % 512 AS choice FROM part), h AS (SELECT choice, choice >> 1 AS h FROM c)
+SELECT choice,
+  CASE WHEN choice < 400 THEN (choice >> 4) // 5 WHEN choice < 500 THEN ((choice - 400) >> 2) // 5 ELSE (choice - 500) // 3 END AS s0,
+  CASE WHEN choice < 400 THEN (choice >> 4) % 5 WHEN choice < 500 THEN ((choice - 400) >> 2) % 5 ELSE (choice - 500) % 3 END AS s1,
+  CASE WHEN choice < 400 THEN (choice & 15) >> 2 WHEN choice < 500 THEN choice & 3 ELSE 0 END AS s2,
+  CASE WHEN choice < 400 THEN choice & 3 ELSE 0 END AS s3,
+  CASE WHEN h < 180 THEN h // 36 WHEN h < 244 THEN ((h - 180) & 63) >> 4 ELSE (h - 244) // 3 END AS i0,
+  CASE WHEN h < 180 THEN h % 36 // 6 WHEN h < 244 THEN ((h - 180) & 15) >> 2 ELSE (h - 244) % 3 END AS i1,
+  CASE WHEN h < 180 THEN h % 36 % 6 WHEN h < 244 THEN (h - 180) & 3 ELSE 0 END AS i2 FROM h
+"""
+
+
+@query("lsf_scalefactors", "FN24", LSF)
+def lsf_scalefactors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalefactor lengths of half-rate granules by their choice, with and without intensity stereo."""
+    choices = table(spark, sf_dir, "part").select((F.col("p_partkey") % 512).alias("choice")).distinct()
+    plain, intensity = (mp3_spectra.lsf_lengths(F.col("choice"), x) for x in (False, True))
+    return choices.select("choice", *(c.alias(f"s{k}") for k, c in enumerate(plain)), *(c.alias(f"i{k}") for k, c in enumerate(intensity[:3])))
+
+
+def _free(key: int) -> bytes:
+    """Frames without a bitrate, of a size that only the distance to the next header tells; every other one is padded."""
+    size = 150 + key % 60
+    frames = [bytes([0xFF, 0xFB, 2 * (k & 1), 0x40]) + bytes(32) + bytes([k + 1]) * (size - 36 + (k & 1)) for k in range(8 + key % 5)]
+    return bytes(key % 4) + b"".join(frames)
+
+
+FREE = """
+SELECT s_suppkey::VARCHAR AS path, 8 + s_suppkey % 5 AS frames, s_suppkey % 4 AS first_at, (150 + s_suppkey % 60)::INTEGER AS size, ((8 + s_suppkey % 5) // 2)::BIGINT AS padded FROM supplier
+"""
+
+
+@query("mp3_free_format", "JON19 SRC16", FREE)
+def mp3_free_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of free format: frame sizes found by the next header that equals the first in its fixed bits."""
+    found = mp3.frames(built(spark, sf_dir, _free))
+    return found.groupBy("path").agg(
+        F.count("*").alias("frames"), F.min("at").alias("first_at"), F.min("frame_bytes").alias("size"), F.count_if("pad").alias("padded")
+    )
+
+
+def _reservoir(key: int) -> bytes:
+    """Frames whose payloads of a known size each begin where the one before ends, so that room is saved up frame by frame."""
+    need, out = 300 + key % 40, []
+    for k in range(5 + key % 2):
+        w = MsbWriter()
+        w.write(k * (381 - need), 9)
+        w.write(0, 11)
+        w.write(need * 8 if need * 8 < 4096 else 4095, 12)
+        side = w.bytes().ljust(32, b"\0")
+        out.append(b"\xff\xfb\x90\x40" + side + bytes(381))
+    return b"".join(out)
+
+
+RESERVOIR = """
+WITH f AS (SELECT s_suppkey, 300 + s_suppkey % 40 AS need, unnest(range(0, 5 + s_suppkey % 2)) AS k FROM supplier)
+SELECT s_suppkey::VARCHAR AS path, k AS frame, k * (381 - need) AS main_data_begin, k * need AS payload_at, true AS fits, 381 * (k + 1) - need * (k + 1) AS saved FROM f
+"""
+
+
+@query("mp3_reservoir", "WIN17 SNK08", RESERVOIR)
+def mp3_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each frame's payload lies in the stream of all frames' rooms, whether it fits, and the room that is left for later frames."""
+    found = mp3.frames(built(spark, sf_dir, _reservoir))
+    room = (F.col("frame") + 1) * 381 - F.col("payload_at") - F.ceil(F.col("payload_bits") / 8)
+    return found.select("path", "frame", F.col("main_data_begin").cast("long").alias("main_data_begin"), "payload_at", "fits", room.alias("saved"))

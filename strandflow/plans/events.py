@@ -215,7 +215,7 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """
 
 
-@query("frame_patch", "JON18 JON19", FRAME_PATCH)
+@query("frame_patch", "JON18", FRAME_PATCH)
 def frame_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the four rows before has the same type."""
     w = sequence.ordered(USER, ORDER)

@@ -37,7 +37,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey - coalesce(max(
 """
 
 
-@query("running_max_delta", "WIN16 WIN17", RUNNING_MAX)
+@query("running_max_delta", "WIN16", RUNNING_MAX)
 def running_max_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part keys as differences from the greatest before them."""
     lines = table(spark, sf_dir, "lineitem").select(*ORDER, *LINE)

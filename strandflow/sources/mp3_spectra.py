@@ -10,6 +10,9 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from strandflow.functions.bits import MsbReader, MsbWriter
 
 LINES = 576
@@ -268,3 +271,30 @@ def least_choice(values: list[int]) -> int | None:
     need = [max((v.bit_length() for v in part), default=0) for part in (values[:11], values[11:])]
     fits = [(11 * a + 10 * b, k) for k, (a, b) in enumerate(SCALEFACTOR_BITS) if a >= need[0] and b >= need[1]]
     return min(fits)[1] if fits else None
+
+
+def lsf_lengths(choice: Column, intensity: bool) -> list[Column]:
+    """Bits of the four groups of scalefactors at half sampling rates, by the granule's choice; the last channel of intensity stereo has its own rule."""
+    c = choice.cast("long")
+
+    def split(x: Column, *radices: int) -> list[Column]:
+        """Mixed-radix digits, the last the fastest; missing groups have none."""
+        out, rest = [], x
+        for r in reversed(radices):
+            out.append(rest % r)
+            rest = F.floor(rest / r)
+        digits = [rest, *reversed(out)]
+        return [*digits, *[F.lit(0).cast("long")] * (4 - len(digits))][:4]
+
+    if intensity:
+        half = F.floor(c / 2)
+        rules = ((half < 180, split(half, 6, 6)), (half < 244, split((half - 180) % 64, 4, 4)), (F.lit(True), split(half - 244, 3)))
+    else:
+        rules = ((c < 400, split(c, 5, 4, 4)), (c < 500, split(c - 400, 5, 4)), (F.lit(True), split(c - 500, 3)))
+    out = []
+    for k in range(4):
+        value = F.lit(None).cast("long")
+        for when, digits in reversed(rules):
+            value = F.when(when, digits[k]).otherwise(value)
+        out.append(value)
+    return out
