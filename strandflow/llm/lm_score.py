@@ -1,13 +1,16 @@
 """LM scoring by masked pseudo-likelihood with a bidirectional window network.
 
-Word counts of the whole corpus give a vocabulary and word classes: the commonest words are classes of
-their own, other words share classes by their endings, known and rare ones apart. A small network sees the
-classes of the two words before and the two after a masked word and predicts its class; the word's share
-of its class is taken from the counts. Every task trains a copy on all its texts, in which each word is
-masked once; the copies, which start alike, are averaged by their number of targets.
+All words of the corpus are counted, and they hang on a tree: the commonest words are classes of their own,
+other words share classes by their endings, known and rare ones apart. A small network sees the classes of
+the two words before and the two after a masked word and predicts its class; from the class to the word goes
+the word's exact share of the class's count, whatever word it is. So the probabilities of all words of the
+corpus sum to one in every context. Every task trains a copy of the network on all its texts, in which each
+word is masked once; the copies, which start alike, are averaged by their number of targets.
 A document's score is the sum over all its words of the log-probability of each given its neighbours.
 
-What reaches the driver is bounded: ``VOCABULARY`` counts and sums of the network's weights.
+``VOCABULARY`` bounds only which counts the tasks hold: a rare word's count stays in the written table of
+counts and is joined to the texts that have the word. What reaches the driver is bounded by ``VOCABULARY``
+and by ``GATHERED`` sums of weights.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import bounded_batches
 from strandflow.session import materialize
 
-#: Words with counts of their own; all others are rare.
+#: Words whose counts every task holds; the counts of all others, rare ones, are joined.
 VOCABULARY = 1 << 16
 #: Steps to an octave of counts when the vocabulary's least count is sought.
 STEPS = 64
@@ -44,8 +47,8 @@ SEED = 20
 #: Words whose codes a worker remembers, and distinct words counted before they are sent on.
 CACHE = 400_000
 CHUNK = 1 << 12
-#: Partial sums of weights.
-BUCKETS = 64
+#: Weights summed in a task at once, and sums that reach the driver at most.
+GATHERED = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -89,7 +92,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Known words by sorted hash, with class and log-share; log-shares of rare words by ending class."""
+    """Known words by sorted hash, with class and log-share; by ending class, what the log-counts of rare words have yet to lose."""
 
     hashes: np.ndarray
     classes: np.ndarray
@@ -98,8 +101,9 @@ class Lexicon:
     #: Log of each class's share of all words.
     class_shares: np.ndarray
 
-    def codes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and log-shares of words."""
+    def codes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Classes, log-shares (of rare words without their log-counts), hashes, and whether rare, of words."""
+        rare = np.ones(len(words), bool)
         h = np.array([word_hash(w) for w in words], np.int64)
         ending = np.array([ending_class(w) for w in words], np.int64)
         classes, shares = COMMON + SHARED + ending, self.rare_shares[ending]
@@ -107,41 +111,43 @@ class Lexicon:
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             known = self.hashes[at] == h
             classes, shares = np.where(known, self.classes[at], classes), np.where(known, self.shares[at], shares)
-        return classes, shares
+            rare = ~known
+        return classes, shares, h, rare
 
 
 def commonest(counts: DataFrame, limit: int = VOCABULARY) -> list:
-    """Words of at least a count below which there'd be more than ``limit`` of them, commonest first.
+    """The ``limit`` commonest words, of equal counts those of the least hashes, commonest first.
 
-    The least count comes from a histogram of counts by size, ``STEPS`` to an octave, so that no task and not
-    the driver gets more than ``limit`` words.
+    A histogram of counts by size, ``STEPS`` to an octave, tells which steps are in whole; of the step on the
+    boundary the first are taken. So no task and not the driver gets more than ``limit`` words.
     """
     size = F.floor(F.log2("n") * STEPS).cast("int")
     histogram = {r.size: r.words for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect()}
-    least = words = 0
+    words, edge = 0, None
     for step in sorted(histogram, reverse=True):
-        words += histogram[step]
-        if words > limit:
-            least = step + 1
+        if words + histogram[step] > limit:
+            edge = step
             break
-    return sorted(counts.where(size >= least).collect(), key=lambda r: (-r.n, r.h))
+        words += histogram[step]
+    if edge is None:
+        return sorted(counts.collect(), key=lambda r: (-r.n, r.h))
+    rest = counts.where(size == edge).orderBy(F.desc("n"), "h").limit(limit - words).collect()
+    return sorted(counts.where(size > edge).collect() + rest, key=lambda r: (-r.n, r.h))
 
 
-def lexicon(docs: DataFrame) -> Lexicon:
-    counts = materialize(count_words(docs), "lm-counts")
-    top = commonest(counts)
+def lexicon(counts: DataFrame) -> Lexicon:
+    """Of ``counts``, as ``count_words`` gives them and written."""
+    top = commonest(counts, VOCABULARY)
     h = np.array([r.h for r in top], np.int64)
     n = np.array([r.n for r in top], np.float64)
     classes = np.array([i if i < COMMON else COMMON + r.ending for i, r in enumerate(top)], np.int64)
     mass = np.bincount(classes, weights=n, minlength=CLASSES)
     shares = np.log(n / mass[classes]) if len(top) else n
-    # a rare word has an equal share of its class's distinct words
-    known_words = np.bincount([r.ending for r in top], minlength=SHARED) if top else np.zeros(SHARED)
-    distinct, total = np.zeros(SHARED), np.zeros(SHARED)
-    for r in counts.groupBy("ending").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():
-        distinct[r.ending], total[r.ending] = r.words, r.n
+    total = np.zeros(SHARED)
+    for r in counts.groupBy("ending").agg(F.sum("n").alias("n")).collect():
+        total[r.ending] = r.n
     mass[COMMON + SHARED :] = total - np.bincount([r.ending for r in top], weights=n, minlength=SHARED) if top else total
-    rare = -np.log(np.maximum(1.0, distinct - known_words))
+    rare = -np.log(np.maximum(1.0, mass[COMMON + SHARED :]))
     order = np.argsort(h)
     smooth = mass + 1
     return Lexicon(h[order], classes[order], shares[order], rare, np.log(smooth / smooth.sum()))
@@ -218,17 +224,19 @@ class Coder:
     def clear(self) -> None:
         self.rows: dict[bytes, int] = {}
         self.codes, self.shares = np.zeros(0, np.int64), np.zeros(0)
+        self.hashes, self.rare = np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        """(classes with pads, log-shares, places of the words in the first, number of words of each text)."""
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
+        """(classes with pads, log-shares, places of the words in the first, number of words of each text, rows of the words)."""
         split = [words_of(t) for t in texts]
         if len(self.rows) > CACHE:
             self.clear()
         new = list(set().union(*split) - self.rows.keys()) if split else []
         if new:
-            codes, shares = self.lexicon.codes(new)
+            found = self.lexicon.codes(new)
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.codes, self.shares = np.concatenate([self.codes, codes]), np.concatenate([self.shares, shares])
+            held = (self.codes, self.shares, self.hashes, self.rare)
+            self.codes, self.shares, self.hashes, self.rare = (np.concatenate(x) for x in zip(held, found, strict=True))
         sizes = [len(s) for s in split]
         total = sum(sizes)
         row = self.rows.__getitem__
@@ -236,7 +244,7 @@ class Coder:
         places = np.arange(total) + 2 * np.repeat(np.arange(1, len(sizes) + 1), sizes)
         padded = np.full(total + 2 * (len(sizes) + 1), PAD, np.int64)
         padded[places] = self.codes[rows]
-        return padded, self.shares[rows], places, sizes
+        return padded, self.shares[rows], places, sizes, rows
 
 
 def context_of(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -244,69 +252,93 @@ def context_of(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, known: Lexicon) -> Network:
-    """The average of the networks that the tasks train, weighted by their number of targets."""
+    """The average of the networks that the tasks train, weighted by their number of targets.
+
+    Weights are summed up a tree: ``GATHERED`` in a task, then ``GATHERED`` of those sums, until few are left.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, coder, seen = Network(class_shares=known.class_shares), Coder(known), 0
         for batch in it:
-            padded, _, places, _ = coder.batch(batch.column(0).to_pylist())
+            padded, _, places, _, _ = coder.batch(batch.column(0).to_pylist())
             for at in range(0, len(places), BATCH):
                 part = places[at : at + BATCH]
                 net.train(context_of(padded, part), padded[part])
             seen += len(places)
-        columns = [[TaskContext.get().partitionId() % BUCKETS], [float(seen)], [net.flat.tobytes()]]
+        total = (net.flat.astype(np.float64) * seen).tobytes()
+        columns = [[TaskContext.get().partitionId()], [float(seen)], [total]]
         kinds = [pa.int32(), pa.float64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "n", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "n", "total"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros_like(Network().flat, dtype=np.float64)
-        for n, weights in zip(pdf["n"], pdf["weights"], strict=True):
-            total += n * np.frombuffer(weights, np.float32)
-        return pd.DataFrame({"n": [pdf["n"].sum()], "total": [total.tobytes()]})
-
-    trained = docs.select("text").mapInArrow(batches, "bucket int, n double, weights binary")
-    sums = trained.groupBy("bucket").applyInPandas(add, "n double, total binary").collect()
-    n = sum(r.n for r in sums)
+        totals = pdf.sort_values("part")["total"]  # the same order again in a run after a loss
+        total = np.sum([np.frombuffer(t, np.float64) for t in totals], axis=0)
+        return pd.DataFrame({"part": [int(pdf["part"].min()) // GATHERED], "n": [pdf["n"].sum()], "total": [total.tobytes()]})
+
+    schema = "part int, n double, total binary"
+    texts = docs.select("text")
+    sums, left = texts.mapInArrow(batches, schema), texts.rdd.getNumPartitions()
+    while True:
+        sums = sums.groupBy(F.floor(F.col("part") / GATHERED).alias("of")).applyInPandas(add, schema)
+        left = -(-left // GATHERED)
+        if left <= GATHERED:
+            break
+    rows = sums.collect()
+    n = sum(r.n for r in rows)
     if not n:
         return Network(class_shares=known.class_shares)
-    return Network(sum(np.frombuffer(r.total, np.float64) for r in sums) / n)
+    return Network(sum(np.frombuffer(r.total, np.float64) for r in sorted(rows, key=lambda r: r.part)) / n)
 
 
-def score_batch(net: Network, coder: Coder, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
-    padded, shares, places, sizes = coder.batch(texts)
+def score_batch(net: Network, coder: Coder, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, log-likelihood but for the log-counts of rare words, number of rare words, of each text; hashes of the rare words)."""
+    padded, shares, places, sizes, rows = coder.batch(texts)
     logs = shares
     for at in range(0, len(places), CHUNK):
         part = places[at : at + CHUNK]
         logs[at : at + CHUNK] += net.log_probs(context_of(padded, part), padded[part])
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     sums = np.concatenate([[0.0], np.cumsum(logs)])
-    return sizes, sums[ends[1:]] - sums[ends[:-1]]
+    rare = coder.rare[rows]
+    before = np.concatenate([[0], np.cumsum(rare)])
+    return sizes, sums[ends[1:]] - sums[ends[:-1]], before[ends[1:]] - before[ends[:-1]], coder.hashes[rows[rare]]
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and per_token (its mean) for each row of ``docs`` (doc_id, text).
 
     A null or empty text has no tokens, log-likelihood 0 and null per_token. Null ids and repeated rows are
-    kept, a row each; an empty table gives an empty result.
+    kept, a row each; an empty table gives an empty result. Texts are read whole, whatever their length.
     """
     bounded_batches(docs.sparkSession)
-    known = lexicon(docs)
-    net = train(docs, known)
     spark = docs.sparkSession
+    counts = materialize(count_words(docs), "lm-counts")
+    known = lexicon(counts)
+    net = train(docs, known)
     shipped = spark.sparkContext.broadcast((known, net.flat))  # bounded by VOCABULARY
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon_, weights = shipped.value
         scorer, coder = Network(weights), Coder(lexicon_)
         for batch in it:
-            sizes, sums = score_batch(scorer, coder, batch.column(1).to_pylist())
-            means = [round(float(s) / n, 6) if n else None for s, n in zip(sums, sizes, strict=True)]
+            texts = batch.column(1).to_pylist()
+            sizes, sums, n_rare, hashes = score_batch(scorer, coder, texts)
+            copies = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), SEED) - (1 << 63) for t in texts]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.round(sums, 3), pa.float64()), pa.array(means, pa.float64())],
-                names=["doc_id", "n_tokens", "log_likelihood", "per_token"],
+                [batch.column(0), pa.array(copies, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(hashes, pa.int64()))],
+                names=["doc_id", "copy", "n_tokens", "sum", "rare"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+    schema = "doc_id long, copy long, n_tokens long, sum double, rare array<long>"
+    scored = materialize(docs.select("doc_id", "text").mapInArrow(batches, schema), "lm-scored")
+    # the log-counts of a text's rare words; copies of a text have theirs once
+    words = scored.where(F.size("rare") > 0).groupBy("copy").agg(F.first("rare").alias("rare")).select("copy", F.explode("rare").alias("h"))
+    found = words.join(counts.select("h", F.ln("n").alias("more")), "h").groupBy(F.col("copy").alias("__copy")).agg(F.sum("more").alias("more"))
+    whole = scored.join(found, F.col("copy") == F.col("__copy"), "left")
+    total = F.col("sum") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, F.round(total / F.col("n_tokens"), 6))
+    return whole.select("doc_id", "n_tokens", F.round(total, 3).alias("log_likelihood"), mean.alias("per_token"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
