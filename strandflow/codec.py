@@ -17,16 +17,18 @@ from pyspark.sql import DataFrame
 
 from strandflow.functions.bits import get_varint, put_varint
 from strandflow.functions.checksums import crc32c
+from strandflow.operators import context
 from strandflow.operators.models import code_bytes, decode_bytes
-from strandflow.sources import mp3, ogg, tracker
+from strandflow.sources import mp3, ogg, tracker, tracker_code
 
 MAGIC = b"SFR1"
 LEVELS = range(1, 21)
 DEFAULT_LEVEL = 8
 #: Exit statuses.
 DONE, USAGE, INPUT, DAMAGED, SYSTEM = range(5)
-#: Bytes of a stream up to which the adaptive model is tried: it codes a bit at a time.
-MODEL_BYTES = 1 << 16
+#: What a process may take, and what it takes besides three times a file.
+MEMORY = 2048 << 20
+FIXED = 72 << 20
 
 RESULT = "path string, fmt string, length long, coded long, status int, message string, archive binary"
 
@@ -42,13 +44,16 @@ class Config:
     deflate: int
     lzma: bool
     model: bool
+    #: Models of a module's own content, and context mixing: half a minute for each 100 KB.
+    content: bool
+    mixing: bool
 
 
 def config(level: int, fmt: str) -> Config:
-    """Levels in tiers: deflate alone, then stronger, then LZMA, then the adaptive model for small streams."""
+    """Levels in tiers: deflate alone, then stronger, then LZMA, then the order-1 model, models of content, context mixing."""
     if level not in LEVELS:
         raise CodecError(f"no level {level}")
-    return Config(min(9, level), level >= 6, level >= 13 and fmt != "raw")
+    return Config(min(9, level), level >= 6, level >= 13 and fmt != "raw", level >= 15, level >= 18)
 
 
 def _zigzag(x: int) -> bytes:
@@ -173,13 +178,30 @@ def join_mod(streams: list[bytes]) -> bytes:
     return head + bytes(cells) + rest + _undeltas(samples)
 
 
+def split_modx(data: bytes) -> list[bytes]:
+    """Header, whole cells behind the number of channels, what is left of them, samples."""
+    m = tracker.mod_layout(data)
+    end = m.pattern_at + m.npatterns * m.channels * 4 * tracker.ROWS
+    cells = data[m.pattern_at : end]
+    whole = len(cells) // 4 * 4
+    return [data[: m.pattern_at], bytes([m.channels]) + cells[:whole], cells[whole:], data[end:]]
+
+
+def join_modx(streams: list[bytes]) -> bytes:
+    head, cells, rest, samples = streams
+    return head + cells[1:] + rest + samples
+
+
 SPLITS: dict[str, tuple[Callable[[bytes], list[bytes]], Callable[[list[bytes]], bytes]]] = {
     "ogg": (split_ogg, join_ogg),
     "mp3": (split_mp3, join_mp3),
     "mod": (split_mod, join_mod),
     "raw": (lambda data: [data], lambda streams: streams[0]),
+    "modx": (split_modx, join_modx),
 }
 FORMATS = list(SPLITS)
+#: What the streams of a format hold, where models of content know it.
+CONTENT = {"modx": (None, "cells", None, "samples")}
 
 
 def sniff(data: bytes) -> str:
@@ -190,14 +212,24 @@ def sniff(data: bytes) -> str:
     return "mp3" if mp3.sniff(data) else "raw"
 
 
-def plans(data: bytes, c: Config) -> Iterator[tuple[int, bytes]]:
+def _signed(data: bytes) -> list[int]:
+    return [b - 256 if b > 127 else b for b in data]
+
+
+def plans(data: bytes, c: Config, content: str | None = None) -> Iterator[tuple[int, bytes]]:
     """(plan, coded bytes), the plain ones first."""
     yield 0, data
     yield 1, zlib.compress(data, c.deflate)
     if c.lzma:
         yield 2, lzma.compress(data, format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6}])
-    if c.model and len(data) <= MODEL_BYTES:
+    if c.model:
         yield 3, code_bytes(data)
+    if c.mixing:
+        yield 4, context.mixed_bytes(data)
+    if content == "cells":
+        yield 5, data[:1] + tracker_code.code_patterns(data[1:], data[0])
+    if content == "samples":
+        yield 6, tracker_code.code_samples(_signed(data))
 
 
 def undo(plan: int, data: bytes, size: int) -> bytes:
@@ -205,12 +237,20 @@ def undo(plan: int, data: bytes, size: int) -> bytes:
         return zlib.decompress(data)
     if plan == 2:
         return lzma.decompress(data, format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6}])
+    if plan == 4:
+        return context.unmixed_bytes(data, size)
+    if plan == 5:
+        return data[:1] + tracker_code.decode_patterns(data[1:], (size - 1) // 4, data[0])
+    if plan == 6:
+        return bytes(x & 255 for x in tracker_code.decode_samples(data, size))
     return decode_bytes(data, size) if plan == 3 else data
 
 
 def encode(data: bytes, level: int = DEFAULT_LEVEL) -> bytes:
     """The archive of a file."""
     fmt = sniff(data)
+    if fmt == "mod" and config(level, fmt).content:
+        fmt = "modx"
     streams = [data]
     if fmt != "raw":
         try:
@@ -222,8 +262,8 @@ def encode(data: bytes, level: int = DEFAULT_LEVEL) -> bytes:
             fmt, streams = "raw", [data]
     c = config(level, fmt)
     out = [MAGIC, bytes([FORMATS.index(fmt)]), put_varint(len(data)), crc32c(data).to_bytes(4, "little"), put_varint(len(streams))]
-    for s in streams:
-        plan, coded = min(plans(s, c), key=lambda x: (len(x[1]), x[0]))
+    for s, content in zip(streams, CONTENT.get(fmt, (None,) * len(streams)), strict=True):
+        plan, coded = min(plans(s, c, content), key=lambda x: (len(x[1]), x[0]))
         out += [bytes([plan]), put_varint(len(s)), put_varint(len(coded)), coded]
     return b"".join(out)
 
@@ -259,9 +299,10 @@ def decode(archive: bytes) -> bytes:
 
 
 def encode_files(files: DataFrame, level: int = DEFAULT_LEVEL) -> DataFrame:
-    """``RESULT`` for each of ``files`` (path, length, content), a file in a task at a time, the largest dealt first.
+    """``RESULT`` for each of ``files`` (path, length, content), a file at a time.
 
-    A file that can't be coded has a status and a message instead of an archive; others go on.
+    A file that can't be coded, or would need more than ``MEMORY``, has a status and a message instead of an
+    archive; others go on.
     """
     names = [c.split()[0] for c in RESULT.split(", ")]
 
@@ -270,6 +311,9 @@ def encode_files(files: DataFrame, level: int = DEFAULT_LEVEL) -> DataFrame:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 data = bytes(content or b"")
+                if FIXED + 3 * len(data) > MEMORY:
+                    rows.append((path, None, len(data), None, SYSTEM, "the file needs more memory than the limit", None))
+                    continue
                 try:
                     out = encode(data, level)
                     rows.append((path, FORMATS[out[4]], len(data), len(out), DONE, "", out))
