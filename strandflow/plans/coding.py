@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.bits import MsbReader, MsbWriter
 from strandflow.operators import context, models, pool
-from strandflow.plans.media import built
+from strandflow.plans.media import _vorbis, built, keys
 from strandflow.registry import query
 from strandflow.session import table
-from strandflow.sources import mp3, mp3_spectra, ogg, tracker, tracker_code, vorbis
+from strandflow.sources import mp3, mp3_code, mp3_spectra, ogg, opus_entropy, tracker, tracker_code, vorbis, vorbis_audio, vorbis_code
 
 SLOTS = """
 WITH p AS (SELECT user_id, event_type, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '-') AS prev FROM events)
@@ -106,7 +106,7 @@ def mod_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
         coded = tracker_code.code_patterns(cells, channels)
         return str(key), tracker_code.decode_patterns(coded, len(cells) // 4, channels) == cells, len(coded) < len(zlib.compress(cells, 9)), len(cells) // 4
 
-    return models.map_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), "path string, lossless boolean, smaller boolean, cells long", one)
+    return models.map_rows(keys(spark, sf_dir), "path string, lossless boolean, smaller boolean, cells long", one)
 
 
 EVENTS = "SELECT s_suppkey::VARCHAR AS path, true AS lossless, (22 + 64 + 2 * (8 + s_suppkey % 5))::BIGINT AS events FROM supplier"
@@ -130,7 +130,7 @@ def module_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             good = good and tracker_code.events(tracker_code.event_coder(coder.finish()), None, len(rows)) == rows
         return str(key), good, len(it) + len(s3m) + len(xm)
 
-    return models.map_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), "path string, lossless boolean, events long", one)
+    return models.map_rows(keys(spark, sf_dir), "path string, lossless boolean, events long", one)
 
 
 RECORDS = "SELECT s_suppkey::VARCHAR AS path, true AS lossless, (30 * (5 + s_suppkey % 9))::BIGINT AS bytes FROM supplier"
@@ -148,7 +148,7 @@ def module_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         tracker_code.records(coder, data, n, 30)
         return str(key), tracker_code.records(tracker_code.record_coder(coder.finish()), None, n, 30) == data, len(data)
 
-    return models.map_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), "path string, lossless boolean, bytes long", one)
+    return models.map_rows(keys(spark, sf_dir), "path string, lossless boolean, bytes long", one)
 
 
 def _wave(key: int, n: int, bits: int) -> list[int]:
@@ -178,7 +178,7 @@ def module_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         good = tracker_code.decode_samples(a, n) == small and tracker_code.decode_samples(b, n, 16, left) == right
         return str(key), good, len(a) < n and len(b) < len(tracker_code.code_samples(right, 16)), n
 
-    return models.map_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), "path string, lossless boolean, smaller boolean, samples long", one)
+    return models.map_rows(keys(spark, sf_dir), "path string, lossless boolean, smaller boolean, samples long", one)
 
 
 VOTES = "SELECT s_suppkey::VARCHAR AS path, true AS same_bytes, true AS voted, 1000 + s_suppkey % 100 AS samples FROM supplier"
@@ -198,7 +198,7 @@ def width_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
         again = tracker_code.recompress(tracker.decompress(data, 0, n, wide, twice), wide, twice, policy, odd)
         return str(key), again == data, policy is not None and not odd, n
 
-    return models.map_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), "path string, same_bytes boolean, voted boolean, samples long", one)
+    return models.map_rows(keys(spark, sf_dir), "path string, same_bytes boolean, voted boolean, samples long", one)
 
 
 SPECTRA = """
@@ -232,7 +232,7 @@ def mp3_spectra_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return str(key), sum(map(abs, again)), sum(v != 0 for v in again), g["big_values"], exact, cheapest
 
     schema = "path string, total long, lines long, big_values int, exact boolean, cheapest boolean"
-    return models.map_rows(table(spark, sf_dir, "supplier").select("s_suppkey"), schema, one)
+    return models.map_rows(keys(spark, sf_dir), schema, one)
 
 
 @query("book_pool", "JON05 STR10")
@@ -358,3 +358,79 @@ def mp3_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mp3.frames(built(spark, sf_dir, _reservoir))
     room = (F.col("frame") + 1) * 381 - F.col("payload_at") - F.ceil(F.col("payload_bits") / 8)
     return found.select("path", "frame", F.col("main_data_begin").cast("long").alias("main_data_begin"), "payload_at", "fits", room.alias("saved"))
+
+
+VORBIS_MODEL = "SELECT s_suppkey::VARCHAR AS path, 4 + s_suppkey % 5 AS packets, true AS lossless FROM supplier"
+
+
+@query("vorbis_model", "MDL08 MDL09", VORBIS_MODEL)
+def vorbis_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audio packets of links coded by their symbols in the contexts of sites, channels and the packet before, and decoded."""
+    packets = ogg.packets(ogg.pages(built(spark, sf_dir, _vorbis)))
+    links = packets.groupBy("path", "link").agg(F.transform(F.array_sort(F.collect_list(F.struct("pkt", "data"))), lambda x: x["data"]).alias("packets"))
+
+    def one(row) -> tuple:
+        ident, _, setup, *audio = map(bytes, row.packets)
+        g = vorbis_audio.grammar_of(ident, setup)
+        return row.path, len(audio), vorbis_code.decode_packets(g, vorbis_code.code_packets(g, audio), len(audio)) == audio
+
+    return models.map_rows(links, "path string, packets long, lossless boolean", one)
+
+
+GRANULE_MODEL = "SELECT s_suppkey::VARCHAR AS path, (2 + s_suppkey % 3)::BIGINT AS granules, true AS lossless FROM supplier"
+
+
+@query("granule_model", "MDL19 MDL20", GRANULE_MODEL)
+def granule_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Granules coded by side information and lines, decoded, and their payloads made again bit by bit."""
+    t = mp3_spectra.Tables()
+
+    def one(row) -> tuple:
+        key = int(row.s_suppkey)
+        rng, coder, given = random.Random(key), mp3_code.GranuleCoder(t, 44100), []
+        lines = [rng.choice([0, 0, 1, -1, 2]) if i < 60 else rng.choice([0, 0, 0, 1]) if i < 140 else 0 for i in range(576)]
+        for _ in range(2 + key % 3):
+            g = mp3_spectra.plan(t, lines, 44100) | {"global_gain": 160, "scalefac": 3}
+            raw, bits = mp3_spectra.emit(t, lines, g, 44100)
+            coder.granule(g, raw, bits)
+            given.append((raw, bits))
+        coded = coder.finish()
+        back = mp3_code.GranuleCoder(t, 44100, coded)
+        good = all(back.granule(None, None)[1:] == x for x in given)
+        return str(key), len(given), good
+
+    return models.map_rows(keys(spark, sf_dir), "path string, granules long, lossless boolean", one)
+
+
+OPERATIONS = "SELECT s_suppkey::VARCHAR AS path, (40 + s_suppkey % 30)::BIGINT AS operations, true AS values_again, true AS bytes_again, (s_suppkey % 2)::BIGINT AS patches FROM supplier"
+
+
+@query("opus_operations", "MDL11 MDL12 MDL17 FN17", OPERATIONS)
+def opus_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Range-coded operations of each kind: read from a frame's bytes, replayed to the same bytes or to ones that a patch mends, coded by site and decoded."""
+
+    def one(row) -> tuple:
+        key = int(row.s_suppkey)
+        rng, n = random.Random(key), 40 + key % 30
+        kinds = [("logp", (2,)), ("icdf", ((200, 100, 20, 0), 8)), ("uint", (1000,)), ("bits", (5,)), ("laplace", (6000, 8000))]
+        ops = []
+        for i in range(n):
+            kind, params = kinds[rng.randrange(5)]
+            v = {"logp": rng.randrange(2), "icdf": rng.randrange(4), "uint": rng.randrange(1000), "bits": rng.randrange(32), "laplace": rng.choice([0, 0, 1, -2])}[kind]
+            ops.append(opus_entropy.Operation(kind, f"{kind}{i % 3}", params, v))
+        frame = bytearray(opus_entropy.replay(ops, 300))
+        frame[150] ^= key % 2  # a byte that no operation reads
+        d = opus_entropy.Decoder(bytes(frame))
+        values = [getattr(d, op.kind)(op.site, *op.params) for op in ops] == [op.value for op in ops]
+        patch = opus_entropy.differences(bytes(frame), d.record)
+        made = bytearray(opus_entropy.replay(d.record, 300))
+        for at, byte in patch:
+            made[at] = byte
+        coder = opus_entropy.OperationCoder()
+        for op in ops:
+            coder.value(op.kind, op.site, op.params, op.value)
+        back = opus_entropy.OperationCoder(coder.finish())
+        values = values and all(back.value(op.kind, op.site, op.params, None) == op.value for op in ops)
+        return str(key), n, values, made == frame, len(patch)
+
+    return models.map_rows(keys(spark, sf_dir), "path string, operations long, values_again boolean, bytes_again boolean, patches long", one)
