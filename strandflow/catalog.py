@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandflow.plans import coding, corpus, events, functions, media, orders, streams  # noqa: F401
+from strandflow.plans import coding, containers, corpus, events, functions, media, orders, streams  # noqa: F401
 from strandflow.registry import REGISTRY, Query
 
 

@@ -30,6 +30,23 @@ class AdaptiveBit:
             self.n += 1
 
 
+class FrequencyTable:
+    """Adaptive frequencies of a small alphabet: a symbol's rises with each use, and all halve towards the prior at a cap."""
+
+    def __init__(self, n: int, step: int = 24, cap: int = 1 << 12) -> None:
+        self.f, self.total, self.step, self.cap = [1] * n, n, step, cap
+
+    def cost(self, symbol: int) -> float:
+        return -math.log2(self.f[symbol] / self.total)
+
+    def update(self, symbol: int) -> None:
+        self.f[symbol] += self.step
+        self.total += self.step
+        if self.total > self.cap:
+            self.f = [1 + (x - 1 >> 1) for x in self.f]
+            self.total = sum(self.f)
+
+
 class RangeCoder:
     """Binary arithmetic coder of 32-bit range with carries; probabilities are of a one in 1/65536."""
 

@@ -350,6 +350,86 @@ def unpack_xm(data: bytes, rows: int, channels: int) -> Iterator[tuple]:
             yield row, chan, mask & 31, *got
 
 
+def pack_s3m(events: list[tuple]) -> bytes:
+    """A packed S3M pattern of events as ``unpack_s3m`` gives them, its size before it."""
+    out = bytearray()
+    by_row: dict[int, list[tuple]] = {}
+    for e in events:
+        by_row.setdefault(e[0], []).append(e)
+    for row in range(ROWS):
+        for _, chan, mask, *v in by_row.get(row, []):
+            out.append(chan | mask)
+            for bit, fields in ((32, v[:2]), (64, v[2:3]), (128, v[3:])):
+                if mask & bit:
+                    out += bytes(fields)
+        out.append(0)
+    return (len(out) + 2).to_bytes(2, "little") + bytes(out)
+
+
+def pack_xm(events: list[tuple], rows: int, channels: int) -> bytes:
+    """A packed XM pattern of events as ``unpack_xm`` gives them: full cells plain, others behind their mask."""
+    cells = {(row, chan): (mask, v) for row, chan, mask, *v in events}
+    out = bytearray()
+    for row in range(rows):
+        for chan in range(channels):
+            mask, v = cells.get((row, chan), (0, []))
+            if mask != 31:
+                out.append(128 | mask)
+            out += bytes(x for k, x in enumerate(v) if mask >> k & 1)
+    return bytes(out)
+
+
+#: Fields of a MOD header: name and bytes, those of a sample's record and those behind the records (fixed values).
+RECORD = (("sample_name", 22), ("length", 2), ("finetune", 1), ("volume", 1), ("loop", 2), ("loop_length", 2))
+SONG = (("song_length", 1), ("restart", 1), ("orders", 128), ("tag", 4))
+
+
+def header_field(offset: int, nsamples: int) -> tuple[str, int, int] | None:
+    """(field, sample or -1, byte of the field) at a header offset; None behind the header. Old modules have no tag."""
+    if offset < 20:
+        return "title", -1, offset
+    record, at = divmod(offset - 20, 30)
+    if record < nsamples:
+        for name, size in RECORD:
+            if at < size:
+                return name, record, at
+            at -= size
+    at = offset - 20 - 30 * nsamples
+    for name, size in SONG if nsamples == 31 else SONG[:3]:
+        if at < size:
+            return name, -1, at
+        at -= size
+    return None
+
+
+def move_it(data: bytes, order: list[int]) -> bytes:
+    """An IT module with its entities laid end to end behind its tables in another order, and all pointers to them patched.
+
+    ``order``: a permutation of the entities that hold bytes of their own (``PRI``), by offset. Bytes between
+    entities aren't kept.
+    """
+    held = sorted((e for e in it_entities(data) if e.state == "PRI"), key=lambda e: (e.off, -e.len))
+    orders, ins, smp, pat = (_u(data, at, 2) for at in (0x20, 0x22, 0x24, 0x26))
+    table = 192 + orders
+    out, moved = bytearray(data[: table + 4 * (ins + smp + pat)]), {}
+    for k in order:
+        e = held[k]
+        moved[e.off] = len(out)
+        out += data[e.off : e.off + e.len]
+    if _u(data, 0x2E, 2) & 1 and _u(data, 0x38, 4) in moved:
+        out[0x38:0x3C] = moved[_u(data, 0x38, 4)].to_bytes(4, "little")
+    for i in range(ins + smp + pat):
+        at = table + 4 * i
+        old = _u(data, at, 4)
+        out[at : at + 4] = moved.get(old, old).to_bytes(4, "little")
+    for e in held:
+        if e.kind == "sample":
+            at = moved[e.off] + 72
+            old = _u(data, e.off + 72, 4)
+            out[at : at + 4] = moved.get(old, old).to_bytes(4, "little")
+    return bytes(out)
+
+
 def decompress(data: bytes, at: int, length: int, wide: bool, twice: bool = False) -> list[int]:
     """Samples of IT 2.14 compression, or with ``twice`` of 2.15, whose values are summed twice."""
     bits, low, block = (16, 4, 0x4000) if wide else (8, 3, 0x8000)
