@@ -13,7 +13,7 @@ from strandflow.operators import context, models, pool
 from strandflow.plans.media import _vorbis, built, keys
 from strandflow.registry import query
 from strandflow.session import table
-from strandflow.sources import mp3, mp3_code, mp3_spectra, ogg, opus_entropy, tracker, tracker_code, vorbis, vorbis_audio, vorbis_code
+from strandflow.sources import celt_frame, mp3, mp3_code, mp3_spectra, ogg, opus, opus_code, opus_entropy, tracker, tracker_code, vorbis, vorbis_audio, vorbis_code
 
 SLOTS = """
 WITH p AS (SELECT user_id, event_type, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '-') AS prev FROM events)
@@ -434,3 +434,48 @@ def opus_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         return str(key), n, values, made == frame, len(patch)
 
     return models.map_rows(keys(spark, sf_dir), "path string, operations long, values_again boolean, bytes_again boolean, patches long", one)
+
+
+def _celt_tables() -> celt_frame.CeltTables:
+    """Tables of the standard's shape, by a rule: the real ones are their caller's."""
+    energy = tuple(tuple(tuple((40 + 5 * j + 3 * size, 60 + 4 * j + 20 * intra) for j in range(celt_frame.BANDS)) for intra in range(2)) for size in range(4))
+    return celt_frame.CeltTables(energy, tuple(tuple(0 if not q else min(200, 20 * q + max(0, 60 - 4 * j)) for j in range(celt_frame.BANDS)) for q in range(11)))
+
+
+def _celt_packet(key: int, k: int, tables: celt_frame.CeltTables) -> bytes:
+    rng = random.Random(100 * key + k)
+
+    def choose(kind: str, site: str, params: tuple) -> int:
+        if kind == "logp":
+            return int(site != "silence" and rng.random() < 2.0 ** -params[0])
+        if kind == "laplace":
+            return rng.choice([0, 0, 1, -1])
+        return rng.randrange(len(params[0]) if kind == "icdf" else 1 << params[0] if kind == "bits" else params[0] + (kind != "uint"))
+
+    toc = (16 + (key + k) % 16) << 3 | key % 2 << 2
+    size, channels, end = opus_code.celt_shape(toc)
+    writer = celt_frame.Writer(choose)
+    celt_frame.walk(writer, 50 + key % 40, tables, size, channels, 0, end)
+    return opus.build_packet(toc, [writer.finish(50 + key % 40)])
+
+
+CELT = "SELECT s_suppkey::VARCHAR AS path, 4::BIGINT AS packets, 4 * (50 + s_suppkey % 40) AS frame_bytes, true AS replayed, true AS lossless FROM supplier"
+
+
+@query("celt_frames", "SRC27 SRC28 MDL12 MDL13 MDL16 MDL17", CELT)
+def celt_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of CELT read by their grammar: operations that replay to the frames' bytes, and packets coded by them and decoded."""
+
+    def one(row) -> tuple:
+        key, tables = int(row.s_suppkey), _celt_tables()
+        packets = [_celt_packet(key, k, tables) for k in range(4)]
+        replayed, size = True, 0
+        for p in packets:
+            shape = opus_code.celt_shape(p[0])
+            for f in opus.split_packet(p)[0]:
+                _, record = celt_frame.parse(f, tables, shape[0], shape[1], 0, shape[2])
+                replayed, size = replayed and opus_entropy.replay(record, len(f)) == f, size + len(f)
+        back = opus_code.decode_packets(opus_code.code_packets(packets, tables), [(p[0], 1) for p in packets], tables)
+        return str(key), len(packets), size, replayed, back == packets
+
+    return models.map_rows(keys(spark, sf_dir), "path string, packets long, frame_bytes long, replayed boolean, lossless boolean", one)
