@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side table up to which it is broadcast; beyond, the join is shuffled and AQE splits hot keys.
+#: Rows and bytes of a side table up to which it is broadcast; beyond, the join is shuffled and AQE splits hot keys.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 16 << 20
 #: Rows in an Arrow batch: whole texts can be long.
 ARROW_ROWS = 1024
 
@@ -44,8 +45,10 @@ def ascii_lower(col: Column) -> Column:
 
 
 def join_side(big: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a side table, by broadcast only if a count finds it small; keys compare null-safely."""
-    small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Join a side table, by broadcast only if a count of its rows and of its strings' bytes finds it small; keys compare null-safely."""
+    held = [F.coalesce(F.sum(F.octet_length(quoted(c))), F.lit(0)) for c, kind in side.dtypes if kind in ("string", "binary")]
+    rows, *held = side.limit(BROADCAST_ROWS + 1).agg(F.count("*"), *held).first()
+    small = rows <= BROADCAST_ROWS and sum(held) <= BROADCAST_BYTES
     keyed = side.select(*(F.col(c).alias(f"__side_{c}") for c in on), *(c for c in side.columns if c not in on))
     condition = None
     for c in on:

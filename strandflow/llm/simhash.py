@@ -1,8 +1,10 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-Fingerprints have 64 bits. Six blocks of them are cut; two fingerprints that differ in 4 bits or fewer
-agree on at least two whole blocks, so they meet under one of the 15 keys made of two blocks. Exact copies
-are folded first: only distinct fingerprints meet. Where few share a key they are joined and their Hamming
+Fingerprints have 64 bits. They are cut into six blocks or more; two fingerprints that differ in 4 bits or
+fewer differ in 4 blocks at most, so they agree on all others and meet under the key of those: one of 15 keys
+of two blocks in six, of 35 of three in seven, of 70 of four in eight. The more fingerprints there are, the
+more blocks are cut, so that keys have few however large the corpus. Exact copies are folded first: only
+distinct fingerprints meet. Where few share a key they are joined and their Hamming
 distance is checked. Where many do, the group is cut into pieces of bounded size, every pair of pieces is
 searched in a task of its own, and only links that join parts not yet joined are returned, so that a group
 of copies gives a number of links in proportion to its size. Where so many do that even pairs of pieces
@@ -27,8 +29,9 @@ from strandflow.session import materialize
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-#: (shift, bits) of the six blocks.
-BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
+#: Numbers of blocks that fingerprints may be cut into, and fingerprints to a key, if keys were even, up to which fewer blocks do.
+CUTS = (6, 7, 8)
+EVEN = 64
 #: Fingerprints under a key up to which they are joined; beyond, they are searched piece by piece.
 FEW = 32
 #: Fingerprints in a piece, and pieces of a key up to which each meets each.
@@ -69,12 +72,35 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def block_keys(fp: Column) -> Column:
-    """The 15 keys: the number of the pair, then its two blocks."""
-    cut = [F.shiftrightunsigned(fp, shift).bitwiseAND((1 << bits) - 1) for shift, bits in BLOCKS]
-    return F.array(
-        *(F.lit(k << 24).cast("long") + F.shiftleft(cut[i], 12) + cut[j] for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2)))
-    )
+def blocks_of(cuts: int) -> list[tuple[int, int]]:
+    """(shift, bits) of that many blocks, the wider ones first."""
+    out, top = [], 64
+    for i in range(cuts):
+        bits = 64 // cuts + (i < 64 % cuts)
+        top -= bits
+        out.append((top, bits))
+    return out
+
+
+def cuts_for(fingerprints: int) -> int:
+    """The least number of blocks whose keys are expected to have few fingerprints each."""
+    for cuts in CUTS[:-1]:
+        if fingerprints >> sum(bits for _, bits in blocks_of(cuts)[DISTANCE:]) <= EVEN:
+            return cuts
+    return CUTS[-1]
+
+
+def block_keys(fp: Column, cuts: int = CUTS[0]) -> Column:
+    """The keys: the number of the choice of ``cuts`` - ``DISTANCE`` blocks, then those blocks."""
+    blocks = blocks_of(cuts)
+    cut = [F.shiftrightunsigned(fp, shift).bitwiseAND((1 << bits) - 1) for shift, bits in blocks]
+    keys = []
+    for k, chosen in enumerate(combinations(range(cuts), cuts - DISTANCE)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, blocks[i][1]) + cut[i]
+        keys.append(key)
+    return F.array(*keys)
 
 
 def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -100,9 +126,9 @@ def search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, cuts: int | None = None) -> DataFrame:
     """(a, b) of distinct fingerprints (fp), enough to join all those linked by chains of links."""
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
+    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), cuts or cuts_for(fps.count()))).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(keyed.join(counts, "key"), "simhash-keys")
     few = met.where(F.col("n") <= FEW).select("key", "fp")

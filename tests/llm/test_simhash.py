@@ -110,7 +110,21 @@ def test_every_close_pair_shares_a_key(spark):
     from pyspark.sql import functions as F
 
     pairs = spark.createDataFrame(rows, "i long, a long, b long")
-    assert pairs.where(F.arrays_overlap(simhash.block_keys(F.col("a")), simhash.block_keys(F.col("b")))).count() == 200
+    for cuts, keys in zip(simhash.CUTS, (15, 35, 70), strict=True):
+        blocks = simhash.blocks_of(cuts)
+        assert sum(n for _, n in blocks) == 64 and blocks[-1][0] == 0
+        a, b = (simhash.block_keys(F.col(c), cuts) for c in "ab")
+        assert pairs.where(F.arrays_overlap(a, b)).count() == 200
+        assert pairs.select(F.size(F.array_distinct(a)).alias("n")).distinct().collect() == [(keys,)]
+    assert [simhash.cuts_for(n) for n in (0, 10**6, 10**8, 10**11)] == [6, 6, 7, 8]
+
+
+def test_more_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(25)
+    rows = [(i, t, 0, "") for i, t in enumerate([*near_copies(rng, 80, 200), *near_copies(rng, 30, 50)])]
+    for cuts in simhash.CUTS[1:]:
+        monkeypatch.setattr(simhash, "cuts_for", lambda n, cuts=cuts: cuts)
+        check(rows, simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
 
 
 def test_components(spark):
