@@ -6,7 +6,8 @@ batch with numpy, so that the cost of Python is shared by the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,7 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
 _LISTS = {"crc32c": CRC32C_TABLE.tolist(), "ogg": OGG_TABLE.tolist(), "crc16": CRC16_TABLE.tolist()}
 
 
-def _times_matrix(matrix: list[int], vector: int) -> int:
+def _times_matrix(matrix: Sequence[int], vector: int) -> int:
     total, i = 0, 0
     while vector:
         if vector & 1:
@@ -107,15 +108,22 @@ def _times_matrix(matrix: list[int], vector: int) -> int:
     return total
 
 
+@lru_cache(maxsize=None)
+def _zeros(power: int) -> tuple[int, ...]:
+    """What 2 ** power zero bits do to a CRC-32C, by bit."""
+    if not power:
+        return (CASTAGNOLI_REFLECTED, *(1 << i for i in range(31)))
+    step = _zeros(power - 1)
+    return tuple(_times_matrix(step, row) for row in step)
+
+
 def combine_crc32c(first: int, second: int, second_length: int) -> int:
-    """CRC-32C of a concatenation from those of its parts: the first is moved past as many zero bytes by squaring."""
-    step = [CASTAGNOLI_REFLECTED] + [1 << i for i in range(31)]  # one zero bit
-    bits = second_length * 8
+    """CRC-32C of a concatenation from those of its parts: the first is moved past as many zero bytes by squared steps."""
+    bits, power = second_length * 8, 0
     while bits:
         if bits & 1:
-            first = _times_matrix(step, first)
-        step = [_times_matrix(step, row) for row in step]
-        bits >>= 1
+            first = _times_matrix(_zeros(power), first)
+        bits, power = bits >> 1, power + 1
     return first ^ second
 
 
