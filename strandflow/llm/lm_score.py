@@ -49,6 +49,9 @@ CACHE = 400_000
 CHUNK = 1 << 12
 #: Weights summed in a task at once, and sums that reach the driver at most.
 GATHERED = 64
+#: A word's class where it's written, and the columns of ``trained``.
+CODE = np.dtype("<u2")
+CODED = "copy long, classes binary, shares double, rare array<long>, part int, n double, total binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -164,54 +167,83 @@ class Network:
             if class_shares is not None:  # starts from the counts
                 parts[-1] = class_shares
             weights = np.concatenate([p.ravel() for p in parts])
+        self.shapes = shapes
         self.flat = weights.astype(np.float32)
-        self.parts, at = [], 0
-        for s in shapes:
+        self.parts = self.views(self.flat)
+        self.mean, self.square, self.steps = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        self.hot = np.zeros((0, 0), np.float32)
+
+    def views(self, flat: np.ndarray) -> list[np.ndarray]:
+        out, at = [], 0
+        for s in self.shapes:
             size = int(np.prod(s))
-            self.parts.append(self.flat[at : at + size].reshape(s))
+            out.append(flat[at : at + size].reshape(s))
             at += size
-        self.mean, self.square, self.steps = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         table, bias = self.parts[:2]
-        total = table[0][context[0]]
+        total = table[0].take(context[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            total += table[k][context[k]]
+            total += table[k].take(context[k], axis=0)
         total += bias
         return np.tanh(total, out=total)
 
+    def logits(self, h: np.ndarray) -> np.ndarray:
+        """Those of a target as a column, less the greatest: what folds over classes then runs along whole rows."""
+        logits = self.parts[2].T @ h.T
+        logits += self.parts[3][:, None]
+        logits -= logits.max(axis=0)
+        return logits
+
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        logits = self.hidden(context) @ self.parts[2]
-        logits += self.parts[3]
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[np.arange(len(target)), target]
+        logits = self.logits(self.hidden(context))
+        picked = logits[target, np.arange(len(target))]
         np.exp(logits, out=logits)
-        return picked - np.log(logits.sum(axis=1))
+        return picked - np.log(logits.sum(axis=0))
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the mean of minus the log-probabilities."""
-        table, _, out, bias = self.parts
-        rows = np.arange(len(target))
+        n = len(target)
+        rows = np.arange(n)
         h = self.hidden(context)
-        p = h @ out + bias
-        p -= p.max(axis=1, keepdims=True)
+        p = self.logits(h)
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[rows, target] -= 1
-        p /= len(target)
-        dh = (p @ out.T) * (1 - h * h)
-        hot = np.zeros((len(target), len(OFFSETS) * (CLASSES + 1)), np.float32)
-        for k in range(len(OFFSETS)):
-            hot[rows, context[k] + k * (CLASSES + 1)] = 1
-        return np.concatenate([(hot.T @ dh).ravel(), dh.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0)])
+        p /= p.sum(axis=0) * n
+        p[target, rows] -= 1 / n
+        dh = p.T @ self.parts[2].T
+        slope = h * h
+        np.subtract(1, slope, out=slope)
+        dh *= slope
+        width = self.shapes[0][1]
+        if self.hot.shape[1] != n:  # kept between steps, all zeros
+            self.hot = np.zeros((len(OFFSETS) * width, n), np.float32)
+        ones = (context + width * np.arange(len(OFFSETS))[:, None]) * n + rows
+        flat = np.empty_like(self.flat)
+        table, bias, out, last = self.views(flat)
+        self.hot.ravel()[ones] = 1
+        np.matmul(self.hot, dh, out=table.reshape(-1, HIDDEN))
+        self.hot.ravel()[ones] = 0
+        dh.sum(axis=0, out=bias)
+        np.matmul(h.T, p.T, out=out)
+        p.sum(axis=1, out=last)
+        return flat
 
     def train(self, context: np.ndarray, target: np.ndarray) -> None:
         g = self.gradient(context, target)
         self.steps += 1
-        self.mean += 0.1 * (g - self.mean)
-        self.square += 0.01 * (g * g - self.square)
-        fair = self.square / (1 - 0.99**self.steps)
-        self.flat -= RATE / (1 - 0.9**self.steps) * self.mean / (np.sqrt(fair) + 1e-8)
+        self.mean *= 0.9
+        self.mean += 0.1 * g
+        g *= g
+        g *= 0.01
+        self.square *= 0.99
+        self.square += g
+        step = np.divide(self.square, 1 - 0.99**self.steps, out=g)
+        np.sqrt(step, out=step)
+        step += 1e-8
+        np.divide(self.mean, step, out=step)
+        step *= RATE / (1 - 0.9**self.steps)
+        self.flat -= step
 
 
 class Coder:
@@ -251,35 +283,73 @@ def context_of(padded: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.stack([padded[places + k] for k in OFFSETS])
 
 
-def train(docs: DataFrame, known: Lexicon) -> Network:
-    """The average of the networks that the tasks train, weighted by their number of targets.
+def text_hash(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), SEED) - (1 << 63)
 
-    Weights are summed up a tree: ``GATHERED`` in a task, then ``GATHERED`` of those sums, until few are left.
+
+def trained(docs: DataFrame, known: Lexicon) -> DataFrame:
+    """Each text of ``docs`` (doc_id, text) as the network reads it, and behind a task's texts the network that they trained.
+
+    A text's ``classes`` are two bytes a word, ``shares`` is the sum of its words' log-shares, and ``rare``
+    has the hashes of its rare words. A network is ``total``, its weights times its number ``n`` of targets.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, coder, seen = Network(class_shares=known.class_shares), Coder(known), 0
+        net, coder, seen, id_type = Network(class_shares=known.class_shares), Coder(known), 0, pa.int64()
         for batch in it:
-            padded, _, places, _, _ = coder.batch(batch.column(0).to_pylist())
+            id_type = batch.schema.field(0).type
+            texts = batch.column(1).to_pylist()
+            padded, shares, places, sizes, rows = coder.batch(texts)
             for at in range(0, len(places), BATCH):
                 part = places[at : at + BATCH]
                 net.train(context_of(padded, part), padded[part])
             seen += len(places)
+            classes, rare = padded[places].astype(CODE), coder.rare[rows]
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            hashes = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(rare)])[ends], pa.int32()), pa.array(coder.hashes[rows[rare]], pa.int64())
+            )
+            yield coded_rows(
+                batch.column(0),
+                pa.array([text_hash(t) for t in texts], pa.int64()),
+                pa.array([classes[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                pa.array(sums_between(shares, ends), pa.float64()),
+                hashes,
+            )
         total = (net.flat.astype(np.float64) * seen).tobytes()
-        columns = [[TaskContext.get().partitionId()], [float(seen)], [total]]
-        kinds = [pa.int32(), pa.float64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "n", "total"])
+        yield coded_rows(pa.nulls(1, id_type), part=TaskContext.get().partitionId(), n=float(seen), total=total)
+
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {CODED}")
+
+
+def coded_rows(ids: pa.Array, *columns: pa.Array, **network: float | bytes) -> pa.RecordBatch:
+    """A batch of ``trained``: ``columns`` of texts, or the fields of a network."""
+    kinds = {"copy": pa.int64(), "classes": pa.binary(), "shares": pa.float64(), "rare": pa.list_(pa.int64()), "part": pa.int32(), "n": pa.float64(), "total": pa.binary()}
+    given = dict(zip(kinds, columns, strict=False)) | {k: pa.array([v], kinds[k]) for k, v in network.items()}
+    arrays = [ids, *(given.get(k, pa.nulls(len(ids), kind)) for k, kind in kinds.items())]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", *kinds])
+
+
+def sums_between(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the values from each end to before the next."""
+    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return sums[ends[1:]] - sums[ends[:-1]]
+
+
+def averaged(coded: DataFrame, tasks: int, known: Lexicon) -> Network:
+    """The average of the networks in ``coded``, as ``trained`` gives them in ``tasks`` tasks, weighted by their number of targets.
+
+    Weights are summed up a tree: ``GATHERED`` in a task, then ``GATHERED`` of those sums, until few are left.
+    """
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         totals = pdf.sort_values("part")["total"]  # the same order again in a run after a loss
         total = np.sum([np.frombuffer(t, np.float64) for t in totals], axis=0)
         return pd.DataFrame({"part": [int(pdf["part"].min()) // GATHERED], "n": [pdf["n"].sum()], "total": [total.tobytes()]})
 
-    schema = "part int, n double, total binary"
-    texts = docs.select("text")
-    sums, left = texts.mapInArrow(batches, schema), texts.rdd.getNumPartitions()
+    sums, left = coded.where("total is not null").select("part", "n", "total"), tasks
     while True:
-        sums = sums.groupBy(F.floor(F.col("part") / GATHERED).alias("of")).applyInPandas(add, schema)
+        sums = sums.groupBy(F.floor(F.col("part") / GATHERED).alias("of")).applyInPandas(add, "part int, n double, total binary")
         left = -(-left // GATHERED)
         if left <= GATHERED:
             break
@@ -290,50 +360,69 @@ def train(docs: DataFrame, known: Lexicon) -> Network:
     return Network(sum(np.frombuffer(r.total, np.float64) for r in sorted(rows, key=lambda r: r.part)) / n)
 
 
-def score_batch(net: Network, coder: Coder, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, log-likelihood but for the log-counts of rare words, number of rare words, of each text; hashes of the rare words)."""
-    padded, shares, places, sizes, rows = coder.batch(texts)
-    logs = shares
+def train(docs: DataFrame, known: Lexicon) -> Network:
+    """The average of the networks that the tasks train."""
+    return averaged(trained(docs, known), docs.rdd.getNumPartitions(), known)
+
+
+def log_prob_sums(net: Network, padded: np.ndarray, places: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """The sum of the log-probabilities of the classes of each text."""
+    logs = np.zeros(len(places))
     for at in range(0, len(places), CHUNK):
         part = places[at : at + CHUNK]
-        logs[at : at + CHUNK] += net.log_probs(context_of(padded, part), padded[part])
+        logs[at : at + CHUNK] = net.log_probs(context_of(padded, part), padded[part])
+    return sums_between(logs, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+
+
+def score_batch(net: Network, coder: Coder, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, log-likelihood but for the log-counts of rare words, number of rare words, of each text; hashes of the rare words).
+
+    The texts needn't be of the corpus.
+    """
+    padded, shares, places, sizes, rows = coder.batch(texts)
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    sums = np.concatenate([[0.0], np.cumsum(logs)])
     rare = coder.rare[rows]
-    before = np.concatenate([[0], np.cumsum(rare)])
-    return sizes, sums[ends[1:]] - sums[ends[:-1]], before[ends[1:]] - before[ends[:-1]], coder.hashes[rows[rare]]
+    sums = log_prob_sums(net, padded, places, sizes) + sums_between(shares, ends)
+    return sizes, sums, np.diff(np.concatenate([[0], np.cumsum(rare)])[ends]), coder.hashes[rows[rare]]
+
+
+def score_coded(net: Network, classes: list[bytes]) -> tuple[list[int], np.ndarray]:
+    """(words, log-probability of the classes) of each text, given its ``classes``."""
+    gap = np.full(2, PAD, CODE).tobytes()
+    padded = np.frombuffer(gap + b"".join(c + gap for c in classes), CODE).astype(np.int64)
+    sizes = [len(c) // 2 for c in classes]
+    return sizes, log_prob_sums(net, padded, np.flatnonzero(padded != PAD), sizes)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and per_token (its mean) for each row of ``docs`` (doc_id, text).
 
     A null or empty text has no tokens, log-likelihood 0 and null per_token. Null ids and repeated rows are
-    kept, a row each; an empty table gives an empty result. Texts are read whole, whatever their length.
+    kept, a row each; an empty table gives an empty result. Texts are read whole, whatever their length,
+    once for the counts and once more for their classes, which are written.
     """
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     counts = materialize(count_words(docs), "lm-counts")
     known = lexicon(counts)
-    net = train(docs, known)
-    shipped = spark.sparkContext.broadcast((known, net.flat))  # bounded by VOCABULARY
+    coded = materialize(trained(docs, known), "lm-coded")
+    net = averaged(coded, docs.rdd.getNumPartitions(), known)
+    shipped = spark.sparkContext.broadcast(net.flat)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon_, weights = shipped.value
-        scorer, coder = Network(weights), Coder(lexicon_)
+        scorer = Network(shipped.value)
         for batch in it:
-            texts = batch.column(1).to_pylist()
-            sizes, sums, n_rare, hashes = score_batch(scorer, coder, texts)
-            copies = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), SEED) - (1 << 63) for t in texts]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32())
+            sizes, sums = score_coded(scorer, batch.column(2).to_pylist())
+            sums += batch.column(3).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(copies, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(hashes, pa.int64()))],
-                names=["doc_id", "copy", "n_tokens", "sum", "rare"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "copy", "n_tokens", "sum"]
             )
 
-    schema = "doc_id long, copy long, n_tokens long, sum double, rare array<long>"
-    scored = materialize(docs.select("doc_id", "text").mapInArrow(batches, schema), "lm-scored")
+    texts = coded.where("total is null")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, copy long, n_tokens long, sum double"
+    scored = texts.select("doc_id", "copy", "classes", "shares").mapInArrow(batches, schema)
     # the log-counts of a text's rare words; copies of a text have theirs once
-    words = scored.where(F.size("rare") > 0).groupBy("copy").agg(F.first("rare").alias("rare")).select("copy", F.explode("rare").alias("h"))
+    words = texts.where(F.size("rare") > 0).groupBy("copy").agg(F.first("rare").alias("rare")).select("copy", F.explode("rare").alias("h"))
     found = words.join(counts.select("h", F.ln("n").alias("more")), "h").groupBy(F.col("copy").alias("__copy")).agg(F.sum("more").alias("more"))
     whole = scored.join(found, F.col("copy") == F.col("__copy"), "left")
     total = F.col("sum") + F.coalesce("more", F.lit(0.0))

@@ -147,3 +147,17 @@ def test_weights_are_summed_up_a_tree(spark, monkeypatch):
     net = L.train(docs, known)
     monkeypatch.setattr(L, "GATHERED", 64)
     assert np.allclose(net.flat, L.train(docs, known).flat, atol=1e-6)
+
+
+def test_texts_are_coded_once(spark):
+    """What is written beside the networks is enough to score the texts."""
+    texts = ["b a a", None, "", "A  a\nc\x1cd", "b " * 3000 + "a"]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], DOCS).coalesce(1)
+    known = L.lexicon(L.count_words(docs))
+    rows = L.trained(docs, known).collect()
+    assert [r.doc_id for r in rows] == [0, 1, 2, 3, 4, None] and [r.total is None for r in rows] == [True] * 5 + [False]
+    net = L.train(docs, known)
+    want_sizes, want, _, _ = L.score_batch(net, L.Coder(known), texts)
+    sizes, sums = L.score_coded(net, [r.classes for r in rows[:5]])
+    assert sizes == want_sizes == [3, 0, 0, 3, 3001]
+    assert sums + [r.shares for r in rows[:5]] == pytest.approx(want, abs=1e-6)
