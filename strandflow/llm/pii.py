@@ -40,17 +40,20 @@ PHONE = (
     r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9])"
 )
 MALE = r"Mr|Sir|Herr|Señor|Sr|Monsieur|Господин|Κύριος"
-FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|Госпожа|Κυρία"
+FEMALE = r"Mrs|Ms|Miss|Frau|Señora|Sra|Dra|Madame|Mme|Mlle|Госпожа|Κυρία"
+#: Titles that tell no gender.
+NEUTRAL = r"Dr|Prof|Doctor|Professor|Doktor|Docteur|Professeur|Profesor|Доктор|Профессор|Δρ"
+TITLE = f"{MALE}|{FEMALE}|{NEUTRAL}"
 #: Titles stand as they are, in capitals or in small letters, but for those that are units or words then.
-SMALL = r"(?!(?-i:ms|sr|sir|miss)\b)"
-NAME_WORD = rf"(?!(?iu:{MALE}|{FEMALE})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'-]*+"  # and no title
-NAME = rf"(?<![\p{{L}}\p{{N}}]){SMALL}(?iu:{MALE}|{FEMALE})(?:\.\s*+|\s++){NAME_WORD}(?:\x20{NAME_WORD}){{0,2}}"
+SMALL = r"(?!(?-i:ms|sr|sir|miss|doctor|professor|doktor|docteur|professeur|profesor|доктор|профессор)(?!\p{L}))"
+NAME_WORD = rf"(?!(?iu:{TITLE})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'-]*+"  # and no title
+NAME = rf"(?<![\p{{L}}\p{{N}}]){SMALL}(?iu:{TITLE})(?:\.\s*+|\s++){NAME_WORD}(?:\x20{NAME_WORD}){{0,2}}"
 ANY = "|".join((EMAIL, IBAN, IP, SSN, CARD, PHONE, NAME))
 #: A word, as names are looked up in gaps and mentions.
 TOKEN = r"[\p{L}][\p{L}'-]*+"
 
 #: What every titled name holds, in small letters.
-TITLES = ("mr", "ms", "miss", "sir", "herr", "frau", "señor", "sr", "monsieur", "madame", "mme", "mlle", "госп", "κύρι", "κυρί")
+TITLES = ("mr", "ms", "miss", "sir", "herr", "frau", "señor", "sr", "monsieur", "madame", "mme", "mlle", "dr", "prof", "doctor", "doktor", "docteur", "госп", "доктор", "профессор", "κύρι", "κυρί", "δρ")
 
 #: Syllables and endings of made-up names by script.
 SYLLABLES = {
@@ -59,11 +62,11 @@ SYLLABLES = {
     "greek": ["βα", "γα", "γε", "δα", "δε", "δο", "θα", "θε", "κα", "κε", "κο", "λα", "λε", "λι", "λο", "μα", "με", "μι", "μο", "να", "νε", "νι", "πα", "πε", "ρα", "ρε", "ρο", "σα", "σε", "τα", "τε", "φι"],
 }
 ENDINGS = {
-    "latin": {"given-m": ["n", "s", "rd", "k"], "given-f": ["na", "la", "ra", "sa"], "surname": ["ck", "ller", "nd", "rsen"]},
-    "cyrillic": {"given-m": ["н", "р", "с", "м"], "given-f": ["на", "ра", "ля", "ша"], "surname": ["в", "ко", "нь", "ц"]},
-    "greek": {"given-m": ["ς", "ρος", "νος", "λος"], "given-f": ["να", "ρα", "λη", "σα"], "surname": ["δης", "κης", "λος", "ρας"]},
+    "latin": {"given-m": ["n", "s", "rd", "k"], "given-f": ["na", "la", "ra", "sa"], "given": ["ry", "lie", "ny", "xis"], "surname": ["ck", "ller", "nd", "rsen"]},
+    "cyrillic": {"given-m": ["н", "р", "с", "м"], "given-f": ["на", "ра", "ля", "ша"], "given": ["ня", "ся", "лли", "ри"], "surname": ["в", "ко", "нь", "ц"]},
+    "greek": {"given-m": ["ς", "ρος", "νος", "λος"], "given-f": ["να", "ρα", "λη", "σα"], "given": ["ι", "ω", "νι", "ρυ"], "surname": ["δης", "κης", "λος", "ρας"]},
 }
-NAME_KINDS = ("given-m", "given-f", "surname")
+NAME_KINDS = ("given-m", "given-f", "given", "surname")
 
 
 def _digits(raw: Column) -> Column:
@@ -248,7 +251,7 @@ def parts_of(raw: Column) -> Column:
         return F.array(F.struct(F.lit(kind).alias("kind"), norm.alias("norm")))
 
     digits = _digits(raw)
-    given = F.when(raw.rlike(rf"^(?iu:{FEMALE})(?![\p{{L}}])"), "given-f").otherwise("given-m")
+    given = F.when(raw.rlike(rf"^(?iu:{FEMALE})(?![\p{{L}}])"), "given-f").when(raw.rlike(rf"^(?iu:{NEUTRAL})(?![\p{{L}}])"), "given").otherwise("given-m")
     words = F.slice(F.regexp_extract_all(raw, F.lit(TOKEN), F.lit(0)), 2, 3)
     names = bound(words, lambda ws: F.transform(ws, lambda w, i: F.struct(F.when(i == F.size(ws) - 1, "surname").otherwise(given).alias("kind"), name_norm(w).alias("norm"))))
     return (

@@ -131,6 +131,24 @@ def test_names_are_found_again_without_titles(spark):
     assert out[2].text == "Smith alone, no title"
 
 
+def test_titles_that_tell_no_gender(spark):
+    out = run(spark, [
+        "Dr Smith came, Smith went. DR. JANE SMITH, Prof. Ada Lee and Professor\nLee", "Herr Dr. Müller und Prof Dr Weber", "Доктор Иван Петров, Петров", "Δρ. Νίκος",
+        "a doctor Monday, the professor London, Drive In, Profane Things, sir Galahad", "Mr John Hill and Dr John Hill",
+    ])
+    m = re.fullmatch(r"Dr (\w+) came, (\w+) went\. DR\. (\w+) (\w+), Prof\. (\w+) (\w+) and Professor\n(\w+)", out[0].text)
+    assert m[1] == m[2] != "Smith" and m[4] == m[1].upper() and m[6] == m[7] != "Lee" and m[3] != "JANE" and m[5] != "Ada"
+    assert m[5].endswith(tuple(pii.ENDINGS["latin"]["given"])) and out[0].kinds == "given,surname" and out[0].n_mentions == 4
+    m = re.fullmatch(r"Herr Dr\. (\w+) und Prof Dr (\w+)", out[1].text)
+    assert m and {m[1], m[2]}.isdisjoint({"Müller", "Weber"})
+    m = re.fullmatch(r"Доктор ([А-я]+) ([А-я]+), ([А-я]+)", out[2].text)
+    assert m[1] != "Иван" and m[2] == m[3] != "Петров"
+    assert out[3].text.startswith("Δρ. ") and "Νίκος" not in out[3].text
+    assert out[4].n_mentions == 0 and out[4].text.startswith("a doctor Monday, the professor London")
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Dr (\w+) (\w+)", out[5].text)
+    assert m[1] == m[3] != "John" and m[2] == m[4] != "Hill"
+
+
 def iban(s):
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
