@@ -136,9 +136,9 @@ SELECT vec_id, min_by(near_id, dist) AS near_id, round(min(dist), 4) AS dist FRO
 """
 
 
-@query("nearest_l1", "JON05", NEAREST)
+@query("nearest_l1", "", NEAREST)
 def nearest_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest by L1 of the same label's vectors among the 63 ids before: a window of the cache's size."""
+    """The nearest by L1 of the same label's vectors among the 63 ids before; the pool of books, which outlives a window, is ``book_pool``."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     block = F.floor(F.col("vec_id") / 64)
     left = v.withColumn("block", block)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from strandflow import catalog
+from strandflow.registry import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,3 +39,7 @@ def test_against_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_only_the_pool_claims_the_pool():
+    assert {n for n, e in REGISTRY.items() if {"JON05", "STR10"} & {*e.implements}} == {"book_pool"}
