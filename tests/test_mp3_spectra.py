@@ -90,3 +90,21 @@ def test_scalefactors():
         assert S.scalefactors(MsbReader(w.bytes() + b"\0"), choice, shared, before) == (values, n)
         before = values
     assert S.least_choice([16] * 21) is None and S.least_choice([0] * 21) == 0
+
+
+def test_a_plan_costs_each_pair_once(monkeypatch):
+    calls = []
+    cost = S.pair_bits
+    monkeypatch.setattr(S, "pair_bits", lambda t, k, a, b: calls.append(k) or cost(t, k, a, b))
+    for t in (S.Tables(), S.Tables(S.SMALL_PAIRS | {7: large_table(6, 2)})):
+        for lines in spectra():
+            calls.clear()
+            g = S.plan(t, lines, RATE)
+            assert len(calls) <= len(t.pairs) * 288
+            big, best = S.extents(lines)[0], []
+            for region0, region1 in itertools.product(range(16), range(8)):
+                a, b = S.regions(RATE, big, region0, region1)
+                best.append(sum(S.best_table(t, lines[i:j])[1] for i, j in ((0, a), (a, b), (b, big))))
+            a, b = S.regions(RATE, big, g["region0"], g["region1"])
+            chosen = [S.best_table(t, lines[i:j]) for i, j in ((0, a), (a, b), (b, big))]
+            assert [k for k, _ in chosen] == g["table_select"] and sum(x for _, x in chosen) == min(best)
