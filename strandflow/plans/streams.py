@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandflow.plans.media import texts
 from strandflow.registry import query
 from strandflow.session import materialize, shared_dir, table
 from strandflow.sources import ogg
@@ -52,7 +53,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_pages", "STR01 STR05 STR06 SRC13", "SELECT doc_id::VARCHAR AS path, true AS covered, strlen(coalesce(text, ''))::BIGINT AS body FROM documents")
 def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as paged streams that arrive in blocks of 4 KiB, out of order, with junk ahead: pages and gaps cover all bytes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    docs = texts(spark, sf_dir)
     names = ["path", "block", "data", "last"]
 
     def blocks(it):
@@ -69,7 +70,9 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/arrived-{uuid.uuid4().hex}"
     for part in (1, 0):
         cut.where(F.col("block") % 2 == part).write.parquet(f"{base}/part-{1 - part}")
-    stream = spark.readStream.schema(cut.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/*")
+    # some eight micro-batches, however large the table: each writes the buckets' states anew
+    files = max(8, cut.rdd.getNumPartitions() // 4)
+    stream = spark.readStream.schema(cut.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/*")
     found = stateful.drain(stateful.page_stream(stream))
     page = F.col("kind") == "page"
     segments = F.floor((F.col("body")) / 255) + 1

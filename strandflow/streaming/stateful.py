@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from itertools import pairwise
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from strandflow.sources import ogg
 
 LINKS = "user_id long, event_id long, link long"
 PAGES = "path string, at long, kind string, len long, serial long, granule long"
+#: Buckets of keys that share a state.
+BUCKETS = 256
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -30,9 +33,10 @@ def replay(table: DataFrame, order: str, keys: list[str], parts: int = 4) -> Dat
 
     Ranges of the order are written one after the other into the shared folder, the rows of a key in one file
     of a range; a source takes files by their times, so a key's rows arrive in order over the batches. Rows
-    without an order come with the first range.
+    without an order come with the first range. A micro-batch takes as many files as a range may have.
     """
     spark = table.sparkSession
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     at = F.unix_micros(F.col(order).cast("timestamp"))
     cuts = table.select(at.alias("at")).approxQuantile("at", [i / parts for i in range(1, parts)], 0.01)
@@ -41,31 +45,51 @@ def replay(table: DataFrame, order: str, keys: list[str], parts: int = 4) -> Dat
         mine = (at >= low) & (at < high)
         if i == 0:
             mine = mine | at.isNull()
-        table.where(mine).repartition(*keys).write.parquet(f"{base}/part-{i:05d}")
+        table.where(mine).repartition(files, *keys).write.parquet(f"{base}/part-{i:05d}")
         if i + 1 < len(cuts) - 1:
             time.sleep(0.01)  # file times tell milliseconds apart
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/*")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/*")
 
 
-def marker_links(events: DataFrame, marker: str) -> DataFrame:
-    """Each event with its user's number of markers so far. The count is the user's state across micro-batches.
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``rows`` with the bucket of their key: a bucket's keys share a state and a call, as a call costs some milliseconds whatever it does."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def marker_links(events: DataFrame, marker: str, buckets: int = BUCKETS) -> DataFrame:
+    """Each event with its user's number of markers so far. The counts are a bucket's state across micro-batches, by user.
 
     Within a batch a user's events are sorted; over the batches they must come in order (``replay``). One that
     comes after a later one has been counted is late: it has no link (null) and doesn't count.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        link, last_ts, last_id = state.get if state.exists else (0, None, -1)
-        batch = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        at = pd.to_datetime(batch["ts"]).astype("datetime64[us]").astype("int64")
-        late = (at < last_ts) | ((at == last_ts) & (batch["event_id"] <= last_id)) if last_ts is not None else pd.Series(False, index=batch.index)
-        links = (link + ((batch["event_type"] == marker) & ~late).cumsum()).astype("Int64").where(~late)
-        if not late.all():
-            on_time = batch[~late]
-            state.update((int(links.dropna().iloc[-1]), int(at[~late].iloc[-1]), int(on_time["event_id"].iloc[-1])))
-        yield pd.DataFrame({"user_id": batch["user_id"], "event_id": batch["event_id"], "link": links})
-
-    return events.groupBy("user_id").applyInPandasWithState(run, LINKS, "link long, ts long, event_id long", "append", GroupStateTimeout.NoTimeout)
+        held = {(x, u): (link, ts, last) for x, u, link, ts, last in zip(*state.get, strict=True)} if state.exists else {}
+        batch = pd.concat(list(parts)).sort_values(["nobody", "user", "ts", "event_id"])
+        nobody, user, ids = (batch[c].to_numpy() for c in ("nobody", "user", "event_id"))
+        at = pd.to_datetime(batch["ts"]).astype("datetime64[us]").astype("int64").to_numpy()
+        starts = np.flatnonzero(np.r_[True, (user[1:] != user[:-1]) | (nobody[1:] != nobody[:-1])])
+        sizes = np.diff(np.r_[starts, len(user)])
+        keys = list(zip(nobody[starts].tolist(), user[starts].tolist(), strict=True))
+        known = np.repeat([k in held for k in keys], sizes)
+        before, ts, last = (np.repeat(np.array(x, np.int64), sizes) for x in zip(*(held.get(k, (0, 0, 0)) for k in keys), strict=True))
+        late = known & ((at < ts) | ((at == ts) & (ids <= last)))
+        marks = np.cumsum((batch["event_type"] == marker).to_numpy(bool) & ~late)
+        first = np.r_[0, marks][starts]
+        links = before + marks - np.repeat(first, sizes)
+        newest = np.maximum.reduceat(np.where(late, -1, np.arange(len(user))), starts)
+        for k, i in zip(keys, newest.tolist(), strict=True):
+            if i >= 0:
+                held[k] = int(links[i]), int(at[i]), int(ids[i])
+        state.update(tuple(map(list, zip(*((*k, *v) for k, v in held.items()), strict=True))))
+        who = pd.Series(user, dtype="Int64").mask(nobody)
+        yield pd.DataFrame({"user_id": who, "event_id": ids, "link": pd.Series(links, dtype="Int64").mask(late)})
+
+    held = "nobody array<boolean>, user array<long>, link array<long>, ts array<long>, event_id array<long>"
+    rows = _bucketed(events, "user_id", buckets).select(
+        "bucket", F.col("user_id").isNull().alias("nobody"), F.coalesce("user_id", F.lit(0)).cast("long").alias("user"), "event_id", "ts", "event_type"
+    )
+    return rows.groupBy("bucket").applyInPandasWithState(run, LINKS, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -74,7 +98,7 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return timed.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def page_stream(blocks: DataFrame, keep: int = 1 << 17) -> DataFrame:
+def page_stream(blocks: DataFrame, keep: int = 1 << 17, buckets: int = BUCKETS) -> DataFrame:
     """Pages and gaps of files that arrive in blocks (path, block: from 0, data, last).
 
     Blocks may come in any order, over any micro-batches: those ahead of the next wait as state until it comes.
@@ -82,18 +106,16 @@ def page_stream(blocks: DataFrame, keep: int = 1 << 17) -> DataFrame:
     as gaps, so that pages and gaps cover all bytes. ``keep`` bounds what is carried: no page is longer.
     """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, base, following, end, numbers, waiting = state.get if state.exists else (b"", 0, 0, -1, [], [])
-        held = dict(zip(numbers, map(bytes, waiting), strict=True))
-        batch = pd.concat(list(parts))
-        for number, data, last in zip(batch["block"], batch["data"], batch["last"], strict=True):
-            held[int(number)] = bytes(data)
-            end = int(number) if last else end
+    def forward(path: str, file: list) -> list[tuple]:
+        """What the blocks that have come tell of a file (tail, base, following, end, waiting); the file moves on."""
+        tail, base, following, end, waiting = file
         ready = []
-        while following in held:
-            ready.append(held.pop(following))
+        while following in waiting:
+            ready.append(waiting.pop(following))
             following += 1
-        data, last = bytes(tail) + b"".join(ready), 0 <= end < following
+        if not ready:
+            return []
+        data, last = tail + b"".join(ready), 0 <= end < following
         pages, gaps = ogg.parse(data)
         found = sorted([(p.at, p.size, p) for p in pages] + [(src, n, None) for _, src, n in gaps], key=lambda x: x[0])
         cut = len(data)
@@ -104,12 +126,32 @@ def page_stream(blocks: DataFrame, keep: int = 1 << 17) -> DataFrame:
             cut = first if first >= 0 else max(start, len(data) - 3)
             if cut > start:
                 found.append((start, cut - start, None))
-        rows = [(key[0], base + at, "page" if p else "gap", n, p and p.serial, p and p.granule) for at, n, p in found]
-        state.update((data[cut:], base + cut, following, end, list(held), list(held.values())))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")])
+        file[:3] = data[cut:], base + cut, following
+        return [(path, base + at, "page" if p else "gap", n, p and p.serial, p and p.granule) for at, n, p in found]
 
-    held = "tail binary, base long, following int, end int, numbers array<int>, waiting array<binary>"
-    return blocks.groupBy("path").applyInPandasWithState(run, PAGES, held, "append", GroupStateTimeout.NoTimeout)
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        files: dict[str, list] = {}
+        if state.exists:
+            paths, tails, bases, following, ends, owners, numbers, waiting = state.get
+            files = {path: [bytes(tail), *rest, {}] for path, tail, *rest in zip(paths, tails, bases, following, ends, strict=True)}
+            for owner, number, data in zip(owners, numbers, waiting, strict=True):
+                files[paths[owner]][4][number] = bytes(data)
+        came: dict[str, list] = {}
+        for batch in parts:
+            for path, number, data, last in zip(batch["path"], batch["block"], batch["data"], batch["last"], strict=True):
+                file = came[path] = files.setdefault(path, [b"", 0, 0, -1, {}])
+                file[4][int(number)] = bytes(data)
+                if last:
+                    file[3] = int(number)
+        rows = [row for path, file in came.items() for row in forward(path, file)]
+        wait = [(i, number, data) for i, file in enumerate(files.values()) for number, data in file[4].items()]
+        held = [list(files), *([file[k] for file in files.values()] for k in range(4)), *([x[k] for x in wait] for k in range(3))]
+        state.update(tuple(held))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")]).astype({"serial": "Int64", "granule": "Int64"})
+
+    held = "path array<string>, tail array<binary>, base array<long>, following array<int>, end array<int>, owner array<int>, number array<int>, waiting array<binary>"
+    rows = _bucketed(blocks, "path", buckets)
+    return rows.groupBy("bucket").applyInPandasWithState(run, PAGES, held, "append", GroupStateTimeout.NoTimeout)
 
 
 class Progress(StreamingQueryListener):
