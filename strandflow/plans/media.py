@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from strandflow import codec
 from strandflow.functions import checksums
 from strandflow.functions.bits import LsbWriter
-from strandflow.operators import models
+from strandflow.operators import coders, models
 from strandflow.registry import query
 from strandflow.session import materialize, shared_dir, table
 from strandflow.sources import archive, files, mp3, ogg, opus, tracker, vorbis_audio
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    """The documents' bytes, dealt out: a file may have all its rows in one row group, which one task would read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 LOSSLESS = "SELECT doc_id, true AS lossless, strlen(coalesce(text, ''))::BIGINT AS payload FROM documents"
@@ -97,10 +99,10 @@ def crc_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir).withColumn("half", F.floor(F.length("data") / 2).cast("int"))
     parts = docs.select(
         "doc_id",
-        checksums.crc32c_udf(F.expr("substring(data, 1, half)")).alias("first"),
-        checksums.crc32c_udf(F.expr("substring(data, half + 1)")).alias("second"),
+        coders.checksum(spark, "crc32c", F.expr("substring(data, 1, half)")).alias("first"),
+        coders.checksum(spark, "crc32c", F.expr("substring(data, half + 1)")).alias("second"),
         (F.length("data") - F.col("half")).alias("size"),
-        checksums.ogg_crc_udf("data").alias("ogg_crc"),
+        coders.checksum(spark, "ogg_crc", F.col("data")).alias("ogg_crc"),
         F.crc32("data").alias("crc32"),
     )
     return parts.select("doc_id", checksums.combine_udf("first", "second", "size").alias("crc32c"), "ogg_crc", "crc32")
