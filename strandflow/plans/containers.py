@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandflow.operators import context, layout, lookup, models, sequence
+from strandflow.operators import coders, context, layout, lookup, models, sequence
 from strandflow.plans.events import ORDER, USER, events, ordered_fold
 from strandflow.plans.media import _chain, _it, _opus, built, keys
 from strandflow.registry import query
@@ -216,26 +217,10 @@ def coded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences of a user's values in hundredths as numbers of sign, length and bits, coded and decoded."""
     rows = events(spark, sf_dir).select(*USER, *ORDER, F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long").alias("v"))
 
-    def start() -> list:
-        return [context.SymbolCoder(2), [], 0]
-
-    def step(state: list, v: int) -> None:
-        d = v - (state[1][-1] if state[1] else 0)
-        state[0].number("d", d, [0, state[2]])
-        state[2] = d.bit_length()
-        state[1].append(v)
-
-    def done(state: list) -> tuple:
-        coder, last, back = context.SymbolCoder(2, (), state[0].finish()), 0, []
-        size = 0
-        for _ in state[1]:
-            d = coder.number("d", None, [0, size])
-            size = d.bit_length()
-            last += d
-            back.append(last)
-        return (int(back == state[1]),)
-
-    return ordered_fold(rows, F.col("v"), start, step, done, "good long").select("user_id", "n", (F.col("good") == 1).alias("lossless"))
+    listed = ordered_fold(rows, F.col("v"), list, list.append, lambda values: (np.array(values, "<i8").tobytes(),), "data binary")
+    n = F.col("n").cast("int")
+    again = coders.decode(spark, "numbers", coders.encode(spark, "numbers", F.col("data"), n), n)
+    return listed.select("user_id", "n", (again == F.col("data")).alias("lossless"))
 
 
 @query("frequency_cost", "WIN09 AGG01")

@@ -99,7 +99,7 @@ def ordered_fold(df: DataFrame, value: Column, start: Callable[[], Any], step: C
             yield rows(key_type, [(user, n, *done(state))])
 
     def rows(key: pa.DataType, out: list[tuple]) -> pa.RecordBatch:
-        kinds = [key, pa.int64(), *(pa.float64() if c.split()[1] == "double" else pa.int64() for c in result.split(", "))]
+        kinds = [key, pa.int64(), *({"double": pa.float64(), "binary": pa.binary()}.get(c.split()[1], pa.int64()) for c in result.split(", "))]
         names = [c.split()[0] for c in schema.split(", ")]
         columns = list(zip(*out, strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
